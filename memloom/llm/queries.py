@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, packing
+from . import bpe, line_dedup, packing, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op4_packing": packing.op4_packing,
         "op5_bpe": bpe.op5_bpe,
+        "op7_simhash": simhash.op7_simhash,
+        "op8_secrets": secret_scan.op8_secrets,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": line_dedup.ORACLE_SQL}
