@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, line_dedup, packing, secret_scan, simhash
+from . import bpe, license_scan, line_dedup, packing, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op5_bpe": bpe.op5_bpe,
         "op7_simhash": simhash.op7_simhash,
         "op8_secrets": secret_scan.op8_secrets,
+        "op9_licenses": license_scan.op9_licenses,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
