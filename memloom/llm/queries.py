@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, license_scan, line_dedup, packing, secret_scan, simhash
+from . import bpe, license_scan, line_dedup, packing, pii, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op4_packing": packing.op4_packing,
         "op5_bpe": bpe.op5_bpe,
+        "op6_pii": pii.op6_pii,
         "op7_simhash": simhash.op7_simhash,
         "op8_secrets": secret_scan.op8_secrets,
         "op9_licenses": license_scan.op9_licenses,
