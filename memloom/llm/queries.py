@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, license_scan, line_dedup, packing, pii, secret_scan, simhash
+from . import bpe, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_quality": quality.op2_quality,
         "op4_packing": packing.op4_packing,
         "op5_bpe": bpe.op5_bpe,
         "op6_pii": pii.op6_pii,
