@@ -65,7 +65,7 @@ def _byte_chars() -> list[str]:
 class ForcedBoundaryBpe:
     """Encoder and decoder of one vocabulary file with an end-of-word suffix."""
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 450_000):
         import regex
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
