@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash
+from . import ann, bpe, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_quality": quality.op2_quality,
+        "op3_ann": ann.op3_ann,
         "op4_packing": packing.op4_packing,
         "op5_bpe": bpe.op5_bpe,
         "op6_pii": pii.op6_pii,
