@@ -65,7 +65,7 @@ def _kept_text() -> Column:
 def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the repeated lines gone from text, and n_lines and n_removed (longs) added."""
     marked = mark_repeated_lines(docs, text, key)
-    removed = F.when(F.col(_GONE).isNull(), F.lit(0)).otherwise(removed).cast("long")
+    removed = F.when(F.col(_GONE).isNull(), F.lit(0)).otherwise(F.size(F.col(_GONE))).cast("long")
     new = F.when(F.col(_GONE).isNull(), F.col(text)).otherwise(_kept_text())
     lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.col(_LINES))).cast("long")
     return marked.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], lines.alias("n_lines"), removed.alias("n_removed"))
