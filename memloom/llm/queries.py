@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ann, bpe, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash
+from . import ann, bpe, langid, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_langid": langid.op1_langid,
         "op2_quality": quality.op2_quality,
         "op3_ann": ann.op3_ann,
         "op4_packing": packing.op4_packing,
