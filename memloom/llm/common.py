@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,17 @@ def let(value: Column, body) -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """df with a row's identity, the same in every evaluation: its file and place, or a number written once.
+
+    Numbers given out while a plan runs may differ between two runs of it (after an executor is
+    lost, splits can fall otherwise), so they are never joined unless they were written.
+    """
+    try:
+        out = df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
+        out.schema  # noqa: B018  resolves the metadata now
+        return out
+    except AnalysisException:
+        return cut(df.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("f"), F.monotonically_increasing_id().alias("i"))))

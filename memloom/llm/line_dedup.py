@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, read_table
+from .common import cut, let, read_table, with_row_id
 
 WINDOW = 3
 _ROW, _LINES, _GONE = "__row", "__lines", "__gone"
@@ -46,7 +46,7 @@ def _windows(lines: Column) -> Column:
 
 def mark_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with __row, __lines and __gone: the sorted numbers, from 1, of the lines to remove (null: none)."""
-    rows = docs.withColumn(_ROW, F.monotonically_increasing_id()).withColumn(_LINES, F.split(F.col(text), "\n", -1))
+    rows = with_row_id(docs, _ROW).withColumn(_LINES, F.split(F.col(text), "\n", -1))
     at = F.struct(F.col(key).alias("k"), F.col(_ROW).alias("row"), F.col("w.line").alias("line"))
     windows = rows.select(key, _ROW, F.explode(_windows(F.col(_LINES))).alias("w")).select(F.col("w.h").alias("h"), F.col("w.g").alias("g"), at.alias("at"))
     windows = cut(windows)
@@ -62,17 +62,20 @@ def _kept_text() -> Column:
     return F.array_join(F.transform(left, lambda i: F.element_at(F.col(_LINES), i)), "\n")
 
 
-def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the repeated lines gone from text, and n_lines and n_removed (longs) added."""
+def deduplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", counts: bool = False) -> DataFrame:
+    """docs with the repeated lines gone from text; with counts, n_lines and n_removed (longs) too."""
     marked = mark_repeated_lines(docs, text, key)
-    removed = F.when(F.col(_GONE).isNull(), F.lit(0)).otherwise(F.size(F.col(_GONE))).cast("long")
     new = F.when(F.col(_GONE).isNull(), F.col(text)).otherwise(_kept_text())
-    lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.col(_LINES))).cast("long")
-    return marked.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], lines.alias("n_lines"), removed.alias("n_removed"))
+    kept = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
+    if counts:
+        lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.col(_LINES)))
+        gone = F.when(F.col(_GONE).isNull(), F.lit(0)).otherwise(F.size(F.col(_GONE)))
+        kept += [lines.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed")]
+    return marked.select(*kept)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return deduplicate_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLE_SQL = r"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, read_table
+from .common import cut, read_table
 from .components import connected_components
 
 SEED, WIDTH, RADIUS = 42, 4, 4
@@ -200,20 +200,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest id.
 
-    A row without an id stays if no row of its group has one.
+    Rows without an id go if their group has one; of groups without any, each text stays once.
     """
     found = cut(near_duplicates(docs, text, key))
-    rows, ids = found.agg(F.count("*"), F.countDistinct(key, F.col(key).isNull())).first()
+    rows, ids, nameless = found.agg(F.count(key), F.countDistinct(key), F.count(F.when(F.col(key).isNull(), 1))).first()
     keep = found.filter(f"`{key}` = component_id").select(key).distinct()
     kept = docs.join(keep, key, "left_semi").select(*docs.columns)
     if rows != ids:
         kept = kept.dropDuplicates([key])
-    alone = found.filter(f"`{key}` is null and component_id is null").select("fp").distinct()
-    if found.filter(f"`{key}` is null").limit(1).count():
-        nameless = fingerprints(docs.filter(f"`{key}` is null"), text, key).select("fp").distinct().join(alone, "fp", "left_semi")
-        if nameless.limit(1).count():
-            kept = kept.unionByName(docs.filter(f"`{key}` is null").dropDuplicates([text]))
+    if nameless:
+        alone = found.filter(f"`{key}` is null and component_id is null").select("fp").distinct()
+        own = docs.filter(f"`{key}` is null").dropDuplicates([text])
+        prints = fingerprints(own.select(F.col(text).alias("t")), "t", "t")
+        texts = prints.join(alone, "fp", "left_semi").select(F.col("t").alias("__t"))
+        kept = kept.unionByName(own.join(texts, own[text].eqNullSafe(F.col("__t")), "left_semi").select(*docs.columns))
     return kept
 
 
-__all__ = ["deduplicate", "drop_cut", "fingerprint", "fingerprints", "hamming_links", "near_duplicates", "op7_simhash"]
+__all__ = ["deduplicate", "fingerprint", "fingerprints", "hamming_links", "near_duplicates", "op7_simhash"]
