@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import graph, memory  # noqa: F401  each module registers its queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
