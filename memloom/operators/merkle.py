@@ -7,6 +7,8 @@ folded inside its row, and its root is a leaf of the next table. No group holds
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +26,26 @@ def _levels(n: int) -> int:
     return max(0, (n - 1).bit_length())
 
 
-def _fold(level: Column, k: int, pad_last: bool) -> list[Column]:
-    """The k levels above an array of hashes: each an array half as long."""
-    out = []
-    for _ in range(k):
-        n = F.size(level)
-        half = F.floor((n + 1) / 2).cast("int")
-        missing = F.element_at(level, -1) if pad_last else F.lit(ZERO_HASH)
+def _zero_roots(levels: int) -> list[str]:
+    """Roots of trees of zero hashes, by height."""
+    out = [ZERO_HASH]
+    for _ in range(levels):
+        b = bytes.fromhex(out[-1])
+        out.append(sha256(b + b).hexdigest())
+    return out
 
-        def pair(i: Column, level: Column = level, missing: Column = missing) -> Column:
-            return node_hash(F.element_at(level, 2 * i - 1), F.coalesce(F.try_element_at(level, 2 * i), missing))
 
-        level = F.transform(F.sequence(F.lit(1), half), pair)
-        out.append(level)
-    return out
+def _level_above(level: Column, missing: Column | None) -> Column:
+    """An array of hashes half as long; without missing, an odd last one pairs with itself."""
+
+    def pair(i: Column) -> Column:
+        left = F.element_at(level, 2 * i - 1)
+        return node_hash(left, F.coalesce(F.try_element_at(level, 2 * i), left if missing is None else missing))
+
+    return F.transform(F.sequence(F.lit(1), F.floor((F.size(level) + 1) / 2).cast("int")), pair)
 
 
-def nodes(leaves: DataFrame, tree: str, counts: dict | None = None, zero_pad: bool = True) -> DataFrame:
+def nodes(leaves: DataFrame, tree: str, zero_pad: bool = True) -> DataFrame:
     """(tree, level, pos, hash) of every node, leaves at level 0, from leaves (tree, idx, hash).
 
     zero_pad: missing leaves are zero hashes up to the next power of two, so a missing right node
@@ -49,12 +54,7 @@ def nodes(leaves: DataFrame, tree: str, counts: dict | None = None, zero_pad: bo
     """
     sizes = leaves.groupBy(tree).agg((F.max("idx") + 1).alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
-    zero = [ZERO_HASH]
-    from hashlib import sha256
-
-    for _ in range(_levels(most)):
-        b = bytes.fromhex(zero[-1])
-        zero.append(sha256(b + b).hexdigest())
+    zero = _zero_roots(_levels(most))
     sized = sizes.withColumn("height", F.ceil(F.log2(F.col("n").cast("double"))).cast("int"))
     level = leaves.select(tree, F.lit(0).alias("level"), F.col("idx").cast("long").alias("pos"), "hash").join(sized.select(tree, "height"), tree)
     out = level.select(tree, "level", "pos", "hash")
@@ -72,46 +72,29 @@ def roots(leaves: DataFrame, tree: str, zero_pad: bool = True) -> DataFrame:
     most = sizes.agg(F.max("leaves")).first()[0] or 0
     heights = sizes.withColumn("height", F.ceil(F.log2(F.col("leaves").cast("double"))).cast("int"))
     level = leaves.select(tree, F.col("idx").cast("long").alias("pos"), "hash").join(heights.select(tree, "height"), tree)
-    from hashlib import sha256
-
-    zero, done, total = ZERO_HASH, 0, _levels(most)
+    done, total = 0, _levels(most)
+    zeros = _zero_roots(total)
     while done < total:
         k = min(LEVELS, total - done)
-        zeros = [zero]
-        for _ in range(k):
-            b = bytes.fromhex(zeros[-1])
-            zeros.append(sha256(b + b).hexdigest())
         group = level.groupBy(tree, "height", F.shiftright("pos", k).alias("p")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("h"))
         steps = F.least(F.lit(k), F.greatest(F.col("height") - done, F.lit(0)))
         folded = F.col("h")
         result = F.element_at(folded, 1)
         for j in range(1, k + 1):
-            missing = F.lit(zeros[j - 1])
-
-            def pair(i: Column, level: Column = folded, missing: Column = missing) -> Column:
-                left = F.element_at(level, 2 * i - 1)
-                return node_hash(left, F.coalesce(F.try_element_at(level, 2 * i), missing if zero_pad else left))
-
-            folded = F.transform(F.sequence(F.lit(1), F.floor((F.size(folded) + 1) / 2).cast("int")), pair)
+            folded = _level_above(folded, F.lit(zeros[done + j - 1]) if zero_pad else None)
             name = f"__f{j}"
             group = group.withColumn(name, F.when(steps >= j, folded))
             folded = F.col(name)
             result = F.when(steps >= j, F.element_at(F.col(name), 1)).otherwise(result)
         level = group.select(tree, F.col("p").alias("pos"), result.alias("hash"), "height")
-        zero, done = zeros[-1], done + k
+        done += k
     return level.join(sizes, tree).select(tree, "leaves", F.col("hash").alias("root"))
 
 
 def audit_paths(leaves: DataFrame, tree: str, zero_pad: bool = True) -> DataFrame:
     """(tree, idx, hash, path): the siblings of each leaf from below upwards."""
     table = nodes(leaves, tree, zero_pad=zero_pad)
-    from hashlib import sha256
-
-    most = leaves.agg(F.max("idx") + 1).first()[0] or 0
-    zeros = [ZERO_HASH]
-    for _ in range(_levels(most)):
-        b = bytes.fromhex(zeros[-1])
-        zeros.append(sha256(b + b).hexdigest())
+    zeros = _zero_roots(_levels(leaves.agg(F.max("idx") + 1).first()[0] or 0))
     heights = leaves.groupBy(tree).agg(F.ceil(F.log2((F.max("idx") + 1).cast("double"))).cast("int").alias("height"))
     wanted = leaves.select(tree, "idx", "hash").join(heights, tree).filter("height > 0").select(tree, "idx", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("level"))
     own = F.expr("shiftright(idx, level)")
@@ -157,7 +140,7 @@ def consistency(pairs: DataFrame, chain: DataFrame) -> DataFrame:
 
 def apply_pending(leaves: DataFrame, ops: DataFrame) -> DataFrame:
     """leaves (idx, hash) after ops (seq, op, idx, hash) in order: additions append, tombstones zero a known leaf."""
-    last = ops.groupBy("idx").agg(F.max_by(F.struct("op", "hash"), "seq").alias("o"))
-    joined = leaves.select("idx", F.col("hash").alias("old")).join(last, "idx", "full")
-    new = F.when(F.col("o.op") == "TOMBSTONE", F.lit(ZERO_HASH)).otherwise(F.coalesce("o.hash", "old"))
-    return joined.filter("old is not null or o.op = 'ADD' or o.hash is not null").select("idx", new.alias("hash"))
+    last = ops.groupBy("idx").agg(F.max_by("op", "seq").alias("op"), F.max_by("hash", F.when(F.col("op") == "ADD", F.col("seq"))).alias("added"))
+    joined = leaves.select("idx", F.col("hash").alias("old")).join(last, "idx", "full").filter("old is not null or added is not null")
+    new = F.when(F.col("op") == "TOMBSTONE", F.lit(ZERO_HASH)).otherwise(F.coalesce("added", "old"))
+    return joined.select("idx", new.alias("hash"))
