@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, memory, proofs, retention  # noqa: F401  each module registers its queries
+from . import graph, memory, proofs, retention, streams  # noqa: F401  each module registers its queries
 from .registry import QUERIES, SQL
 
 
