@@ -48,4 +48,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         new = cut(_star(_star(at, True).distinct(), False).distinct())
         drop_cut(at)
         at = new
-    return at.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = at.select(F.col("v").alias("u"), "v").distinct()
+    return at.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
