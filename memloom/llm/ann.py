@@ -39,6 +39,8 @@ from .common import cut, read_table
 TRAIN, BLOCK, PARTS, SUB, CODES = 20_000, 2048, 1024, 2, 16
 ETA, PROBE, KEEP, TOP, QUERY_SLICE = 2.6, 0.88, 256, 20, 256
 ROUNDS, SWEEPS = 6, 2
+#: Candidates that a task holds before it merges them.
+FLUSH = 400_000
 
 
 class Model:
@@ -151,13 +153,25 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
 
+def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The top rows of each query among parts of (query, id, score)."""
+    q, i, s = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
+    keep = rank < top
+    return [(q[keep], i[keep], s[keep])]
+
+
 def _search(batches: Iterator[pa.RecordBatch], model: Model, top: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, block, query, id, vector, code), sorted, with each block's rows before its queries, to candidates."""
     name, ids, vectors, codes, ready = None, [], [], [], None
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
 
     def answer(q_ids: np.ndarray, q: np.ndarray) -> None:
-        nonlocal ready
+        nonlocal ready, held
         if not ids:
             return
         if ready is None:
@@ -177,6 +191,10 @@ def _search(batches: Iterator[pa.RecordBatch], model: Model, top: int) -> Iterat
                 score = (v[near] * part[j].astype(np.float64)).sum(axis=1)
                 best = np.lexsort((i[near], -score))[:top]
                 out.append((np.full(len(best), qid), i[near][best], score[best]))
+                held += len(best)
+
+    def record(parts) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["query_id", "vec_id", "score"])
 
     for batch in batches:
         keys = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)], axis=1)
@@ -194,9 +212,14 @@ def _search(batches: Iterator[pa.RecordBatch], model: Model, top: int) -> Iterat
                 ids.append(own)
                 vectors.append(x)
                 codes.append(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(b - a, -1))
-        if out:
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
-            out = []
+        if held > FLUSH:  # a task's blocks are merged before anything is shuffled
+            out = _best(out, top)
+            held = len(out[0][0])
+            if held > FLUSH // 2:
+                yield record(out)
+                out, held = [], 0
+    if out:
+        yield record(_best(out, top))
 
 
 def nearest(vectors: DataFrame, is_query, top: int = TOP, key: str = "vec_id", column: str = "embedding") -> DataFrame:
