@@ -8,7 +8,9 @@ any line is never removed, since a removed line equals one in an earlier window.
 The first occurrence of each window comes from a map-side minimum, so a window that half of the
 corpus shares is one row a task before the shuffle; the repeated windows alone are written and
 joined back, with plain exchanges on both sides that can be split where a window is very common.
-Texts move at most once, to meet the places of their own removed lines.
+Texts move once, to meet the places of their own removed lines. Both joins are merge joins at every
+size: the tables of repeated windows and of removed lines grow with the corpus, so neither is
+broadcast, and the cost grows evenly.
 
 Defined cases: lines end at ``\\n``; a null text stays null, with no lines; fewer than three lines
 make no window; windows whose lines are all blank are ignored; a text all of whose lines are
@@ -46,15 +48,15 @@ def _windows(lines: Column) -> Column:
 
 def mark_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with __row, __lines and __gone: the sorted numbers, from 1, of the lines to remove (null: none)."""
-    rows = with_row_id(docs, _ROW).withColumn(_LINES, F.split(F.col(text), "\n", -1))
+    rows = with_row_id(docs, _ROW)
     at = F.struct(F.col(key).alias("k"), F.col(_ROW).alias("row"), F.col("w.line").alias("line"))
-    windows = rows.select(key, _ROW, F.explode(_windows(F.col(_LINES))).alias("w")).select(F.col("w.h").alias("h"), F.col("w.g").alias("g"), at.alias("at"))
+    windows = rows.select(key, _ROW, F.explode(_windows(F.split(F.col(text), "\n", -1))).alias("w")).select(F.col("w.h").alias("h"), F.col("w.g").alias("g"), at.alias("at"))
     windows = cut(windows)
     first = cut(windows.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later = windows.join(first, ["h", "g"]).filter(F.col("at") > F.col("first"))
+    later = windows.join(first.hint("merge"), ["h", "g"]).filter(F.col("at") > F.col("first"))
     covered = later.select(F.col("at.row").alias(_ROW), F.explode(F.sequence(F.col("at.line"), F.col("at.line") + (WINDOW - 1))).alias("line"))
     gone = cut(covered.groupBy(_ROW).agg(F.sort_array(F.collect_set("line")).alias(_GONE)))
-    return rows.join(gone, _ROW, "left")
+    return rows.join(gone.hint("merge"), _ROW, "left").withColumn(_LINES, F.split(F.col(text), "\n", -1))
 
 
 def _kept_text() -> Column:
