@@ -205,7 +205,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     found = cut(near_duplicates(docs, text, key))
     rows, ids, nameless = found.agg(F.count(key), F.countDistinct(key), F.count(F.when(F.col(key).isNull(), 1))).first()
     keep = found.filter(f"`{key}` = component_id").select(key).distinct()
-    kept = docs.join(keep, key, "left_semi").select(*docs.columns)
+    kept = docs.join(keep.hint("merge"), key, "left_semi")  # ids to keep grow with the corpus: never broadcast
+    kept = kept.select(*docs.columns)
     if rows != ids:
         kept = kept.dropDuplicates([key])
     if nameless:
