@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import retention as R
 from ..functions.atoms import atom_type
+from .ordinal import global_index
 
 
 def examples(log: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def fit(rows: DataFrame, theta: list[float] | None = None, steps: int = 50, rate
 
 def pairwise_accuracy(rows: DataFrame, theta: list[float], order: list[str], reach: int = 9) -> DataFrame:
     """The share of pairs at most reach apart, in the given order, whose predicted order is the observed one."""
-    numbered = rows.withColumn("pred", half_life_of(rows, theta)).withColumn("i", F.row_number().over(Window.orderBy(*order)))
+    numbered = global_index(rows.withColumn("pred", half_life_of(rows, theta)), *order)
     a = numbered.select("i", F.col("pred").alias("pa"), F.col("interval_ms").alias("ia"))
     b = numbered.select(F.explode(F.sequence(F.col("i") - reach, F.col("i") - 1)).alias("i"), F.col("pred").alias("pb"), F.col("interval_ms").alias("ib"))
     right = (F.col("pa") > F.col("pb")) == (F.col("ia") > F.col("ib"))

@@ -21,3 +21,18 @@ def dense_index(df: DataFrame, group: str, order: str, name: str = "idx", span:
     offsets = counts.select(group, "__span", (F.sum("__n").over(run) - F.col("__n")).alias("__before"))
     own = Window.partitionBy(group, "__span").orderBy(order)
     return spans.join(offsets, [group, "__span"]).withColumn(name, F.col("__before") + F.row_number().over(own) - 1).drop("__span", "__before")
+
+
+def global_index(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
+    """df with name: 1, 2, ... by the order columns over all rows.
+
+    Rows are dealt out by range and numbered where they are; the numbers of a range start after the
+    counts of those before it. The ranges are written once, so that both uses see the same ones.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    part = F.shiftright("__m", 33)
+    counts = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    offsets = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row a range
+    own = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__p", part).join(offsets, "__p").withColumn(name, F.col("__before") + own + 1).drop("__p", "__m", "__before")

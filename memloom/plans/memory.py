@@ -251,11 +251,11 @@ def doc_len_stats(spark, d):
     return T.corpus_stats(table(spark, d, "documents"), "text").select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
-@query(f"""WITH {_DOCS}, total AS (SELECT token, count(DISTINCT doc_id) AS n FROM x GROUP BY token), gone AS (SELECT token, count(DISTINCT doc_id) AS n FROM x WHERE doc_id % 5 = 0 GROUP BY token)
+@query(f"""WITH {_DOCS}, total AS (SELECT token, count(DISTINCT doc_id) AS n FROM x GROUP BY token), gone AS (SELECT token, count(DISTINCT doc_id) AS n FROM x JOIN documents d USING (doc_id) WHERE d.source = 'src0' GROUP BY token)
 SELECT token, total.n - coalesce(gone.n, 0) AS df FROM total LEFT JOIN gone USING (token) WHERE total.n - coalesce(gone.n, 0) > 0""")
 def tokens_df_after_removal(spark, d):
     docs = table(spark, d, "documents")
-    signed = T.term_rows(docs, "doc_id", "text").withColumn("s", F.lit(1)).unionByName(T.term_rows(docs.filter("doc_id % 5 = 0"), "doc_id", "text").withColumn("s", F.lit(-1)))
+    signed = T.term_rows(docs, "doc_id", "text").withColumn("s", F.lit(1)).unionByName(T.term_rows(docs.filter("source = 'src0'"), "doc_id", "text").withColumn("s", F.lit(-1)))
     return signed.groupBy("token").agg(F.sum("s").alias("df")).filter("df > 0")
 
 
@@ -273,17 +273,17 @@ def bm25_topk(spark, d):
     return T.top_k(scores, 5, "q", "doc_id")
 
 
-@query(f"""WITH b AS (SELECT item_id AS q, list_distinct({_TOK.format('text')}) AS qt FROM benchmark), p AS (SELECT p_partkey, list_distinct({_TOK.format('p_name')}) AS pt FROM part WHERE p_partkey <= 500), s AS (SELECT p1.p_partkey AS a, p2.p_partkey AS b, round(len(list_intersect(p1.pt, p2.pt)) / len(list_distinct(list_concat(p1.pt, p2.pt))), 9) AS score FROM p p1, p p2 WHERE p1.p_partkey <= 20 AND p1.p_partkey <> p2.p_partkey)
+@query(f"""WITH p AS (SELECT p_partkey, list_distinct({_TOK.format('p_name')}) AS pt FROM part), s AS (SELECT p1.p_partkey AS a, p2.p_partkey AS b, round(len(list_intersect(p1.pt, p2.pt)) / len(list_distinct(list_concat(p1.pt, p2.pt))), 9) AS score FROM p p1, p p2 WHERE p1.p_partkey % 100 = 0 AND p1.p_partkey <> p2.p_partkey)
 SELECT a, b, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def jaccard_topk(spark, d):
-    p = table(spark, d, "part").filter("p_partkey <= 500").select("p_partkey", F.array_distinct(A.tokens(F.col("p_name"))).alias("t"))
-    a = p.filter("p_partkey <= 20").select(F.col("p_partkey").alias("a"), F.col("t").alias("ta"))
+    p = table(spark, d, "part").select("p_partkey", F.array_distinct(A.tokens(F.col("p_name"))).alias("t"))
+    a = p.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("a"), F.col("t").alias("ta"))
     b = p.select(F.col("p_partkey").alias("b"), F.col("t").alias("tb"))
     shared = a.select("a", "ta", F.explode("ta").alias("w")).join(b.select("b", "tb", F.explode("tb").alias("w")), "w").filter("a <> b").dropDuplicates(["a", "b"])
     return T.top_k(shared.select("a", "b", F.round(A.jaccard(F.col("ta"), F.col("tb")), 9).alias("score")), 5, "a", "b")
 
 
-_FNV = """WITH RECURSIVE words AS (SELECT p_partkey, unnest(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part WHERE p_partkey <= 200),
+_FNV = """WITH RECURSIVE words AS (SELECT p_partkey, unnest(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part),
 dw AS (SELECT DISTINCT w FROM words), g AS (SELECT w, 'w:' || w AS f FROM dw UNION ALL SELECT w, 'n:' || w FROM dw WHERE length(w) = 2
  UNION ALL SELECT w, 'n:' || substr(w, i, k) FROM dw, (SELECT unnest([3, 4, 5]) AS k), (SELECT unnest(range(1, 40)) AS i) WHERE i + k - 1 <= length(w)),
 df AS (SELECT DISTINCT f FROM g),
@@ -294,7 +294,7 @@ nz AS (SELECT * FROM raw WHERE v <> 0), vec AS (SELECT p_partkey, bucket, v / sq
 
 
 def _part_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return T.hashed_buckets(table(spark, d, "part").filter("p_partkey <= 200"), "p_partkey", "p_name")
+    return T.hashed_buckets(table(spark, d, "part"), "p_partkey", "p_name")
 
 
 @query(_FNV + " SELECT p_partkey, bucket, round(weight, 9) AS weight FROM vec")
@@ -302,11 +302,11 @@ def ngram_embed_buckets(spark, d):
     return _part_vectors(spark, d).withColumn("weight", F.round("weight", 9))
 
 
-@query(_FNV + """, cs AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(greatest(-1, least(1, sum(a.weight * b.weight))), 9) AS cosine FROM vec a JOIN vec b USING (bucket) WHERE a.p_partkey <= 10 AND a.p_partkey <> b.p_partkey GROUP BY 1, 2)
+@query(_FNV + """, cs AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(greatest(-1, least(1, sum(a.weight * b.weight))), 9) AS cosine FROM vec a JOIN vec b USING (bucket) WHERE a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey GROUP BY 1, 2)
 SELECT a, b, cosine, round((cosine + 1) / 2, 9) AS index_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM cs) WHERE rank <= 5""")
 def ngram_cosine_topk(spark, d):
     v = _part_vectors(spark, d)
-    a = v.filter("p_partkey <= 10").withColumnRenamed("p_partkey", "a")
+    a = v.filter("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "a")
     c = T.bucket_cosine(a, v.withColumnRenamed("p_partkey", "b"), "a", "b").filter("a <> b").withColumn("cosine", F.round("cosine", 9))
     return T.top_k(c, 5, "a", "b", "cosine").select("a", "b", "cosine", F.round(T.index_score(F.col("cosine")), 9).alias("index_score"), "rank")
 
@@ -353,12 +353,13 @@ def evidence_gate(spark, d):
     return T.evidence_gate(e).select("q", "doc_id", "evidence", "included", "input_count", "excluded_count", "low_evidence_fallback", "exclusion_rate")
 
 
-@query(f"""WITH {_BM}, d2 AS (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id <= 800), s AS (SELECT q, doc_id, score FROM sc JOIN d2 USING (doc_id) WHERE score >= 0.05)
+@query(f"""WITH {_BM}, d2 AS (SELECT doc_id FROM documents WHERE source <> 'src0' AND n_chars <= 3000), s AS (SELECT q, doc_id, score FROM sc JOIN d2 USING (doc_id) WHERE score >= 0.05)
 SELECT q, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def search_asof(spark, d):
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("q_text"))
     scores = T.bm25(table(spark, d, "documents"), queries).withColumn("score", F.round("score", 9))  # frequencies of the current corpus
-    return T.top_k(scores.filter("doc_id % 4 <> 0 and doc_id <= 800 and score >= 0.05"), 10, "q", "doc_id")
+    live = table(spark, d, "documents").filter("source <> 'src0' and n_chars <= 3000").select("doc_id")  # the length stands for the version, the source for removal
+    return T.top_k(scores.filter("score >= 0.05").join(live, "doc_id", "left_semi"), 10, "q", "doc_id")
 
 
 @query(f"""WITH {_ITEMS}, lab AS (SELECT q, doc_id FROM items WHERE quality = 1 AND tokens % 2 = 0), c AS (SELECT lab.q, CASE WHEN lab.q % 2 = 0 THEN 'even' ELSE 'odd' END AS category, min(rank) AS best FROM lab JOIN items USING (q, doc_id) GROUP BY 1, 2)
