@@ -43,20 +43,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder once and returns a frame that reads it, with no lineage."""
+    """Writes df to the shared folder once and returns a frame that reads it, with no lineage.
+
+    The files go when the session ends: a result that is still to be read may need them.
+    """
     base = ensure_checkpoint_dir(df.sparkSession)
     path = os.path.join(base, f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    at, fs = _at(df.sparkSession, path)
+    fs.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files behind a frame made by :func:`cut`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        at, fs = _at(df.sparkSession, f)
+        fs.delete(at, True)
 
 
 def let(value: Column, body) -> Column:
