@@ -77,3 +77,28 @@ def write_tier(kind: Column, by_type: dict[str, str], default: str = "auto-write
 
 def write_decision(write: Column, review_approved: bool = False) -> Column:
     return F.when(write == "never-store", "deny").when((write == "review-required") & F.lit(not review_approved), "review-required").otherwise("allow")
+
+
+def encode_tier(name: Column) -> Column:
+    """The stored letter of a tier."""
+    return F.when(name.isin("hot", "warm", "cold"), F.substring(name, 1, 1))
+
+
+def decode_tier(letter: Column) -> Column:
+    return F.when(letter == "h", "hot").when(letter == "w", "warm").when(letter == "c", "cold")
+
+
+def tier_key(index: Column) -> Column:
+    """The stored key of an atom's tier: its index in ten digits."""
+    return F.concat(F.lit("tier:"), F.lpad(index.cast("string"), 10, "0"))
+
+
+def parse_theta(text: Column) -> Column:
+    """A struct of weights from ``name:number,name:number``; null where a name is missing or its number is none."""
+    pairs = F.filter(F.split(text, ","), lambda p: F.size(F.split(p, ":")) >= 2)
+
+    def of(name: str) -> Column:
+        values = F.transform(F.filter(pairs, lambda p: F.split(p, ":")[0] == name), lambda p: F.split(p, ":")[1].try_cast("double"))
+        return F.try_element_at(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(-1)).alias(name)
+
+    return F.struct(*[of(n) for n in THETA])

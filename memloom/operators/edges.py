@@ -116,3 +116,9 @@ def neighbourhood(edges: DataFrame, start: list[str], depth: int, fan_out: int)
         layer = reached.join(seen.select("atom"), "atom", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(layer)
     return seen
+
+
+def mermaid(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """The edges among reached atoms as lines of a diagram."""
+    inside = edges.join(reached.select(F.col("atom").alias("from_atom")), "from_atom", "left_semi").join(reached.select(F.col("atom").alias("to_atom")), "to_atom", "left_semi")
+    return inside.select(F.concat(F.lit('  "'), "from_atom", F.lit('" -->|'), "weight", F.lit('| "'), "to_atom", F.lit('"')).alias("line"))

@@ -73,3 +73,24 @@ def compare(before: DataFrame, now: DataFrame, threshold: float, lower_is_better
     delta = F.when(F.col("before") != 0, (F.col("now") - F.col("before")) / F.col("before")).otherwise(0.0)
     worse = F.when(lower_is_better, F.col("delta") > threshold).otherwise(F.col("delta") < -threshold)
     return both.withColumn("delta", delta).withColumn("regressed", worse)
+
+
+def report(rows: DataFrame, kind: str, value: str, ms: str) -> DataFrame:
+    """One row: operations by kind, their rate over the time they span, and the latency of each."""
+    span = F.greatest((F.max(ms) - F.min(ms)) / 1000, F.lit(0.001))
+    return rows.agg(
+        F.count("*").alias("operations"),
+        F.countDistinct(kind).alias("kinds"),
+        F.round(F.count("*") / span, 9).alias("per_second"),
+        *nearest_rank(value, 50, 95, 99),
+        F.round(F.avg(value), 6).alias("mean"),
+        F.round(F.stddev_pop(value) / F.avg(value), 6).alias("cv"),
+    )
+
+
+def exposition(rows: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """Lines of the text format of metrics: name{label="..."} value."""
+    parts = []
+    for k, label in enumerate(labels):
+        parts += [F.lit(("," if k else "") + label + '="'), F.regexp_replace(F.col(label).cast("string"), r'(["\\\\])', r"\\\\$1"), F.lit('"')]
+    return rows.select(F.concat(F.lit(name + "{"), *parts, F.lit("} "), F.col(value).cast("string")).alias("line"))

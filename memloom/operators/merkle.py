@@ -144,3 +144,24 @@ def apply_pending(leaves: DataFrame, ops: DataFrame) -> DataFrame:
     joined = leaves.select("idx", F.col("hash").alias("old")).join(last, "idx", "full").filter("old is not null or added is not null")
     new = F.when(F.col("op") == "TOMBSTONE", F.lit(ZERO_HASH)).otherwise(F.coalesce("added", "old"))
     return joined.select("idx", new.alias("hash"))
+
+
+def valid_report(leaf: Column, idx: Column, path: Column, shard: Column, shard_path: Column, root: Column) -> Column:
+    """Whether a leaf's path gives a shard root whose own path gives the master root.
+
+    The master tree's leaves are the hashes of the shard roots' hex strings.
+    """
+    shard_root = root_of_path(leaf, idx, path)
+    return root_of_path(F.sha2(shard_root.cast("binary"), 256), shard, shard_path) == root
+
+
+def proof_problem(version: Column, leaf: Column, root: Column, path_length: Column, openings: Column) -> Column:
+    """Null where a proof has the shape of its version (1: a path; 2: openings), else what is wrong."""
+    hexes = "^[0-9a-f]{64}\\z"
+    return (
+        F.when(~version.isin(1, 2) | version.isNull(), "unknown version")
+        .when(root.isNull() | (root == ""), "no root")
+        .when((version == 1) & ~F.coalesce(leaf.rlike(hexes), F.lit(False)), "bad leaf")
+        .when((version == 1) & path_length.isNull(), "no path")
+        .when((version == 2) & (F.coalesce(openings, F.lit(0)) < 1), "no openings")
+    )

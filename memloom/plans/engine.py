@@ -227,6 +227,23 @@ class Engine:
     def consolidate(self, now_ms: int, n: int = 10) -> DataFrame:
         return Z.replay(self.edges(), Z.replay_candidates(self.tiers(now_ms), n), now_ms)
 
+    def diagnostics(self, now_ms: int) -> dict:
+        """Sizes of the graph and of the paths, atoms by tier, and what was observed since the start."""
+        paths = P.path_counts(self.log().filter("op = 'TRAIN'"), "seq_id", "pos").agg(F.count("*").alias("n"), F.coalesce(F.max("depth"), F.lit(0)).alias("deepest")).first()
+        graph = self.edges().agg(F.countDistinct("from_atom").alias("trained"), F.count("*").alias("edges")).first()
+        return {"path_nodes": paths.n + 1, "deepest": paths.deepest, **graph.asDict(), "tiers": Z.summary(self.tiers(now_ms)).first().asDict(), "mutations": self.log().count()}
+
+    def set_policy(self, policy: dict[str, list[str]]) -> None:
+        """The targets that each listed type may go to."""
+        if any(k not in A.TYPES or any(v not in A.TYPES for v in vs) for k, vs in policy.items()):
+            raise ValueError("a policy names atom types only")
+        self.policy = {k: list(vs) for k, vs in policy.items()}
+
+    def set_write_policy(self, by_type: dict[str, str], default: str = "auto-write") -> None:
+        if {default, *by_type.values()} - {"auto-write", "review-required", "never-store"} or set(by_type) - set(A.TYPES):
+            raise ValueError("a write policy gives atom types one of three tiers")
+        self.write_policy, self.default_tier = dict(by_type), default
+
     def audit(self, since: int = 0, event: str | None = None, limit: int = 100) -> DataFrame:
         rows = self.log().filter(F.col("ts_ms") >= since)
         return (rows.filter(F.col("op") == event) if event else rows).orderBy(F.desc("seq")).limit(limit)

@@ -215,3 +215,11 @@ def prediction_hit_rate(spark, d):
     top = E.top_edge(E.edge_weights(pairs)).select("from_atom", F.col("to_atom").alias("predicted"))
     hit = (F.col("predicted") == F.col("to_atom")).cast("long")
     return pairs.join(top, "from_atom").groupBy("from_atom").agg(F.count("*").alias("asked"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 9).alias("hit_rate"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, top AS (SELECT from_atom, to_atom FROM (SELECT *, row_number() OVER (PARTITION BY from_atom ORDER BY weight DESC, first_seq) AS n FROM edges) WHERE n <= 2),
+walk AS (SELECT 'v1.state.signup' AS atom, 0 AS depth UNION SELECT to_atom, depth + 1 FROM walk JOIN top ON from_atom = atom WHERE depth < 1), r AS (SELECT DISTINCT atom FROM walk)
+SELECT '  "' || from_atom || '" -->|' || weight || '| "' || to_atom || '"' AS line FROM edges WHERE from_atom IN (SELECT atom FROM r) AND to_atom IN (SELECT atom FROM r)""")
+def graph_mermaid(spark, d):
+    e = _edges(spark, d)
+    return E.mermaid(e, E.neighbourhood(e, ["v1.state.signup"], 1, 2))

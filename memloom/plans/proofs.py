@@ -137,3 +137,25 @@ def wal_compact(spark, d):
 @query(f"""WITH {_WAL} SELECT seq, substr(sha256('{{"seq":' || seq || ',"ts":' || ts || ',"op":"' || op || '"' || CASE WHEN data IS NOT NULL THEN ',"data":"' || data || '"' ELSE '' END || CASE WHEN index IS NOT NULL THEN ',"index":' || index ELSE '' END || '}}'), 1, 8) AS ck FROM en""")
 def wal_checksum(spark, d):
     return _entries(spark, d).select("seq", W.checksum(*[F.col(c) for c in ("seq", "ts", "op", "data", "index")]).alias("ck"))
+
+
+@query(f"""WITH RECURSIVE {_sql_roots(_NATION, 'zero')}, m AS (SELECT sha256(sha256(max(root) FILTER (WHERE tree = 0))) AS h0, max(root) FILTER (WHERE tree = 0) AS r0, max(root) FILTER (WHERE tree = 1) AS r1 FROM (SELECT tree, l[1] AS root FROM up WHERE lev = h))
+SELECT lv.tree, lv.idx, lv.idx % 5 <> 0 AS valid, sha256(unhex(sha256(r0)) || unhex(sha256(r1))) AS root FROM lv, m""")
+def report_validate(spark, d):
+    """Leaf to shard to master, with the root of a forged leaf in every fifth place."""
+    leaves = _leaves(spark, d, "nation", "n_nationkey", "n_name")
+    roots = M.roots(leaves, "tree").select(F.lit(0).alias("version"), F.col("tree").alias("shard"), "root")
+    master = M.master_root(roots).select("root")
+    upper = roots.select(F.lit(0).alias("m"), F.col("shard").cast("long").alias("idx"), F.sha2(F.col("root").cast("binary"), 256).alias("hash"))
+    upper_paths = M.audit_paths(upper, "m", zero_pad=False).select(F.col("idx").alias("tree"), F.col("path").alias("shard_path"))
+    rows = M.audit_paths(leaves, "tree").join(upper_paths, "tree").crossJoin(F.broadcast(master))  # one row
+    leaf = F.when(F.col("idx") % 5 == 0, F.lit(ZERO_HASH)).otherwise(F.col("hash"))
+    return rows.select("tree", "idx", M.valid_report(leaf, F.col("idx"), F.col("path"), F.col("tree"), F.col("shard_path"), F.col("root")).alias("valid"), "root")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'unknown version' WHEN c_custkey % 11 = 0 THEN 'no root' WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'bad leaf' WHEN c_custkey % 2 = 1 AND c_custkey % 5 = 0 THEN 'no openings' END AS problem FROM customer""")
+def proof_shapes(spark, d):
+    k, h = F.col("c_custkey"), F.sha2(F.col("c_name").cast("binary"), 256)
+    version = F.when(k % 7 == 0, 3).when(k % 2 == 0, 1).otherwise(2)
+    problem = M.proof_problem(version, F.when(k % 3 == 0, F.lit("zz")).otherwise(h), F.when(k % 11 == 0, F.lit("")).otherwise(h), F.lit(4), F.when(k % 5 == 0, 0).otherwise(2))
+    return table(spark, d, "customer").select("c_custkey", problem.alias("problem"))

@@ -215,3 +215,29 @@ def access_history(spark, d):
 @query(f"WITH {EV} SELECT ts_ms // 3600000 AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM ev GROUP BY ALL")
 def hourly_windows(spark, d):
     return events(spark, d).groupBy(F.floor(F.col("ts_ms") / 3_600_000).alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+# -- codes, parsers, reports -------------------------------------------------------------------------
+@query(_tier_sql(_AT) + " SELECT atom, substr(tier, 1, 1) AS code, tier AS again FROM t")
+def tier_codes(spark, d):
+    t = _tiers(spark, d, _AT).withColumn("code", R.encode_tier(F.col("tier")))
+    return t.select("atom", "code", R.decode_tier(F.col("code")).alias("again"))
+
+
+@query("SELECT c_custkey, 'tier:' || lpad(c_custkey::VARCHAR, 10, '0') AS key, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey / 4.0 END AS access, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 1.5 END AS training, NULL::DOUBLE AS type FROM customer")
+def theta_parse(spark, d):
+    k = F.col("c_custkey")
+    text = F.concat_ws(",", F.when(k % 3 == 0, F.lit("access:none")).otherwise(F.concat(F.lit("access:"), k / 4)), F.when(k % 5 == 0, F.lit("training")).otherwise(F.lit("training:1.5")))
+    t = R.parse_theta(text)
+    return table(spark, d, "customer").select("c_custkey", R.tier_key(k).alias("key"), t["access"].alias("access"), t["training"].alias("training"), t["type"].alias("type"))
+
+
+@query(f"""WITH {EV} SELECT count(*) AS operations, count(DISTINCT event_type) AS kinds, round(count(*) / greatest((max(ts_ms) - min(ts_ms)) / 1000, 0.001), 9) AS per_second,
+quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, round(avg(value), 6) AS mean, round(stddev_pop(value) / avg(value), 6) AS cv FROM ev""")
+def run_report(spark, d):
+    return S.report(events(spark, d), "event_type", "value", "ts_ms")
+
+
+@query("SELECT 'memory_events_total{event_type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
+def metrics_text(spark, d):
+    return S.exposition(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "memory_events_total", ["event_type"], "n")

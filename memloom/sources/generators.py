@@ -47,6 +47,35 @@ def dominant_next(chain: dict[str, list[tuple[str, float]]]) -> dict[str, str]:
     return {a: max(e, key=lambda x: x[1])[0] for a, e in chain.items() if e}
 
 
+def domain_chains(domains: dict[str, list[str]], branches: int = 2, seed: int = 1) -> dict[str, list[tuple[str, float]]]:
+    """A chain over each domain's words: every word leads to the next one mostly, and to branches others of its domain."""
+    numbers, out = lcg(seed), {}
+    for domain, words in domains.items():
+        names = [f"v1.other.{domain}_{w}" for w in words]
+        for k, name in enumerate(names):
+            others = [names[int(next(numbers) * len(names))] for _ in range(branches)]
+            weights: dict[str, float] = {}
+            for target, p in [(names[(k + 1) % len(names)], 0.7), *((o, 0.3 / branches) for o in others)]:
+                weights[target] = weights.get(target, 0.0) + p
+            out[name] = list(weights.items())
+    return out
+
+
+def shop_chain(products: int) -> dict[str, list[tuple[str, float]]]:
+    """Visits of a shop: views lead to other views, carts and ends; carts to purchases or back."""
+    out: dict[str, list[tuple[str, float]]] = {}
+    for k in range(products):
+        view, cart, bought = (f"v1.event.{verb}_product_{k}" for verb in ("view", "cart", "buy"))
+        out[view] = [(f"v1.event.view_product_{(k + 1) % products}", 0.6), (cart, 0.4)]
+        out[cart] = [(bought, 0.7), (view, 0.3)]
+        out[bought] = []
+    return out
+
+
+def batches(walks: list[list[str]], size: int) -> list[list[list[str]]]:
+    return [walks[k : k + size] for k in range(0, len(walks), size)]
+
+
 def sequences(spark: SparkSession, walks: list[list[str]]) -> DataFrame:
     """(seq_id, pos, atom, ts_ms, seq) of sequences made on the driver."""
     rows, k = [], 0

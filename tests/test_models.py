@@ -192,3 +192,24 @@ def test_atom_edges(spark):
     df = spark.createDataFrame([(t,) for t in texts], "a string")
     got = [(r[0], r[1]) for r in df.select(A.atom_type(F.col("a")), A.atom_value(F.col("a"))).collect()]
     assert got == [("fact", "x"), (None, None), (None, None), (None, None), (None, None), (None, None), (None, None), ("state", "y")]
+
+
+def test_sql_names(spark):
+    from memloom.functions.register import register
+
+    names = register(spark, "mem_")
+    row = spark.sql("SELECT mem_atom_type('v1.fact.x y') t, mem_atom_value('v1.fact. x ') v, mem_atom_type('v3.fact.x') n, mem_estimate_tokens('abcde') k, mem_atom_tokens('A-b 1') w, mem_has_secret('api-Key') s, mem_decayed(8, 2, 1) d, mem_hybrid_score(0.5, 0.25) h").first()
+    assert tuple(row) == ("fact", "x", None, 2, ["a", "b", "1"], True, 2.0, 0.52) and len(names) == 9
+
+
+def test_generators():
+    from memloom.sources import generators as G
+
+    chain = G.domain_chains({"a": ["x", "y", "z"], "b": ["u", "v"]})
+    walks = G.random_walks(chain, 50, 6, seed=3)
+    assert walks == G.random_walks(chain, 50, 6, seed=3) and all(len({a.split("_")[0] for a in w}) == 1 for w in walks)
+    assert G.dominant_next(chain)["v1.other.a_x"] == "v1.other.a_y" and len(G.batches(walks, 20)) == 3
+    assert all(len(w) <= 5 for w in G.random_walks(G.shop_chain(4), 20, 5))
+    vocab = {"a": [1.0, 2.0], "##b": [0.5, -1.0]}
+    dims, back = G.read_vocabulary(G.write_vocabulary(vocab))
+    assert dims == 2 and {k: v.tolist() for k, v in back.items()} == vocab

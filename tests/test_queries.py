@@ -70,6 +70,13 @@ def test_engine(spark, tmp_path):
     assert e.access([atoms[2]]).first().error == "tombstoned"
     assert e.context("sky", max_tokens=5).count() == 1
     assert e.bootstrap("sky blue", high_impact=True).count() >= 1
+    assert e.diagnostics(4000)["edges"] == 3
+    e.set_policy({"fact": ["event"]})
+    assert e.access([atoms[0]]).first().predicted == atoms[3]
+    e.set_write_policy({"fact": "never-store"})
+    assert e.add(["v1.fact.new"], 9)["status"] == "deny"
+    with pytest.raises(ValueError):
+        e.set_policy({"nothing": []})
     with pytest.raises(KeyError):
         e.remove("v1.other.none", 1)
     lines = e.export().collect()
