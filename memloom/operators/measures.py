@@ -92,5 +92,6 @@ def exposition(rows: DataFrame, name: str, labels: list[str], value: str) -> Dat
     """Lines of the text format of metrics: name{label="..."} value."""
     parts = []
     for k, label in enumerate(labels):
-        parts += [F.lit(("," if k else "") + label + '="'), F.regexp_replace(F.col(label).cast("string"), r'(["\\\\])', r"\\\\$1"), F.lit('"')]
+        escaped = F.replace(F.replace(F.col(label).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        parts += [F.lit(("," if k else "") + label + '="'), escaped, F.lit('"')]
     return rows.select(F.concat(F.lit(name + "{"), *parts, F.lit("} "), F.col(value).cast("string")).alias("line"))

@@ -64,7 +64,8 @@ def prune(nodes: DataFrame, most: int, share: float = 0.9) -> DataFrame:
     while n > target:
         parents = nodes.filter("depth >= 2").select(F.slice("path", F.lit(1), F.col("depth") - 1).alias("path")).distinct()
         leaves = nodes.join(parents, "path", "left_anti")
-        gone = leaves.orderBy("count", "first_seq", "path").limit(n - target).select("path").checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else leaves.orderBy("count", "first_seq", "path").limit(n - target).select("path")
+        gone = leaves.orderBy("count", "first_seq", "path").limit(n - target).select("path")
+        gone = gone.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else gone.persist()
         k = gone.count()
         if not k:
             break
