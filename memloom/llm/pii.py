@@ -125,6 +125,37 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+#: The same in SQL. Its patterns know no look-around: a match may hold the character before it, and what follows is tested after.
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT * FROM (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0),
+  ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', 0),
+  ('card', 2, '[0-9](?:[ -]?[0-9])+', 0),
+  ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]', 0),
+  ('iban', 4, '(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}', 1),
+  ('ssn', 5, '(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}', 1)) AS v(kind, rank, pat, edge)),
+m AS (SELECT doc_id, t, kind, rank, edge, regexp_extract_all(t, pat) AS hits, string_split_regex(t, pat) AS pieces FROM t, k WHERE regexp_matches(t, pat)),
+i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS n FROM m),
+p AS (SELECT doc_id, t, kind, rank, hits[n] AS raw, edge,
+  list_sum(list_transform(pieces[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:n - 1], lambda x: length(x))), 0) AS pos FROM i),
+s AS (SELECT doc_id, t, kind, rank, (pos + skip)::BIGINT AS a, (pos + length(raw))::BIGINT AS b, substr(raw, (skip + 1)::BIGINT) AS hit, regexp_replace(substr(raw, (skip + 1)::BIGINT), '[^0-9]', '', 'g') AS d
+  FROM (SELECT *, CASE WHEN edge = 1 AND NOT regexp_matches(raw, CASE kind WHEN 'iban' THEN '^[A-Z]' ELSE '^[0-9]' END) THEN 1 ELSE 0 END AS skip FROM p)),
+good AS (SELECT *, lower(substr(t, (greatest(a - 48, 0) + 1)::BIGINT, (a - greatest(a - 48, 0))::BIGINT)) AS near, substr(t, b + 1, 1) AS next, replace(hit, ' ', '') AS c FROM s),
+kept AS (SELECT doc_id, kind, rank, a, b FROM good WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(x, '0'), '') AS INT), 0) > 255)) = 0
+  WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN (length(d) - j) % 2 = 0 THEN substr(d, j, 1)::INT WHEN substr(d, j, 1)::INT > 4 THEN 2 * substr(d, j, 1)::INT - 9 ELSE 2 * substr(d, j, 1)::INT END)) % 10 = 0
+  WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+  WHEN 'iban' THEN NOT regexp_matches(next, '[A-Za-z0-9]') AND length(c) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END), lambda r, x: CASE WHEN x < 10 THEN (r * 10 + x) % 97 ELSE (r * 100 + x) % 97 END, 0) = 1
+  ELSE NOT regexp_matches(next, '[0-9-]') AND substr(hit, 1, 3) NOT IN ('000', '666') AND hit[1] <> '9' AND substr(hit, 5, 2) <> '00' AND substr(hit, 8, 4) <> '0000' AND regexp_matches(near, '\bssn\b|social|security|tax') END)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY rank, a) FILTER (WHERE rank < 4), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY rank, a), '') AS spans
+FROM t LEFT JOIN kept USING (doc_id) GROUP BY t.doc_id
+"""
+
+
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; spans that overlap become one."""
     by_start = F.array_sort(F.transform(pii_spans(F.col(text)), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -151,4 +182,4 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     return marked.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
-__all__ = ["KINDS", "find_pii", "mask", "op6_pii", "pii_spans"]
+__all__ = ["KINDS", "ORACLE_SQL", "find_pii", "mask", "op6_pii", "pii_spans"]

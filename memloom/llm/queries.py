@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op6_pii": pii.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

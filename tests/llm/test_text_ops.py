@@ -7,11 +7,13 @@ import json
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from memloom.llm import bpe, langid, license_scan, line_dedup, packing, pii, quality, secret_scan
+from memloom.llm import queries as registered
 from memloom.llm.common import tokenizer_path
 
 SPACE = "[\x20\x09-\x0d]+"
@@ -198,6 +200,17 @@ def test_pii_spans(spark, docs):
     assert masked[10**6 + 5].startswith("ü😀 IBAN [IBAN] my card [CARD] [EMAIL]; ssn [SSN] GB83")
 
 
+@pytest.mark.parametrize("name", ["op6_pii", "op10_line_dedup"])
+def test_registered_sql(spark, docs, tmp_path, name):
+    more = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(PII_TEXTS) if t is not None], "doc_id long, text string")
+    docs.select("doc_id", "text").unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registered.queries()[name](spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registered.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)
+    assert got.equals(want[list(got.columns)])
+
+
 def test_pii_plan_has_no_python(spark, sf):
     for df in (pii.op6_pii(spark, sf), quality.op2_quality(spark, sf)):
         plan = df._jdf.queryExecution().executedPlan().toString()
