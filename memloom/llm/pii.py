@@ -7,8 +7,10 @@ are written without backtracking into what they have taken (possessive), and sta
 run starts, so their time is linear in the text.
 
 The base kinds are email, ip (parts up to 255), card (13 to 19 digits, Luhn) and phone (9 to 15
-digits). The method adds iban (mod-97) and national ids of the form 3-2-4 digits, which have no
-checksum and therefore need a context word. A span's score starts from its kind and validator and
+digits). The method adds iban and national ids of the form 3-2-4 digits, which have no checksum and
+therefore need a context word. An IBAN may be followed by more capitals or digits, so every end of
+15 to 34 characters that no letter or digit follows is tried with mod-97: the country's own length
+comes first, then the longest that passes. A span's score starts from its kind and validator and
 gains where one of the kind's words stands within 48 code points before it.
 
 Defined cases: a null text counts as empty and stays null when masked; an empty text has no
@@ -26,7 +28,16 @@ from .common import let, read_table
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: The head alone is taken, and group 1 looks at what may follow it, with one more character: heads inside it are candidates, too.
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    **dict.fromkeys(("NO",), 15), **dict.fromkeys(("BE",), 16), **dict.fromkeys(("DK", "FI", "FK", "FO", "GL", "NL", "SD"), 18), **dict.fromkeys(("MK", "SI"), 19),
+    **dict.fromkeys(("AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"), 20), **dict.fromkeys(("CH", "HR", "LI", "LV"), 21), **dict.fromkeys(("BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"), 22),
+    **dict.fromkeys(("AE", "GI", "IL", "IQ", "OM", "SO", "TL"), 23), **dict.fromkeys(("AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"), 24), **dict.fromkeys(("LY", "PT", "ST"), 25),
+    **dict.fromkeys(("IS", "TR"), 26), **dict.fromkeys(("BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"), 27), **dict.fromkeys(("AL", "AZ", "BY", "CY", "DO", "GT", "HN", "HU", "LB", "NI", "PL", "SV"), 28),
+    **dict.fromkeys(("BR", "EG", "PS", "QA", "UA"), 29), **dict.fromkeys(("JO", "KW", "MU", "YE"), 30), **dict.fromkeys(("MT", "SC"), 31), "LC": 32, "RU": 33,
+}
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CONTEXT, LEAST_SCORE = 48, 0.5
 
@@ -43,25 +54,48 @@ def _card(m: Column) -> Column:
     return let(_digits(m), lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d))
 
 
-def _mod97(m: Column) -> Column:
-    """ISO 7064 over the rearranged number, letters counting 10 to 35, a character at a time."""
-    compact = F.translate(m, " ", "")
-    turned = F.concat(F.substr(compact, F.lit(5)), F.substring(compact, 1, 4))
+def _iban_end(head: Column, tail: Column) -> Column:
+    """Characters of tail that end an IBAN, 0 if none do: at the country's length, else the most that mod-97 confirms.
 
-    def step(rest: Column, c: Column) -> Column:
-        v = F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-        return F.when(v < 10, rest * 10 + v).otherwise(rest * 100 + v) % 97
+    ISO 7064 is over the tail with the head moved behind it, letters counting 10 to 35.
+    """
 
-    return F.length(compact).between(15, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(step(r, c))) == 1)
+    def value(c: Column) -> Column:
+        return F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
 
+    h = ((value(F.substring(head, 1, 1)) * 100 + value(F.substring(head, 2, 1))) * 100 + F.substring(head, 3, 2).cast("int")) % 97
+    size = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair]), F.substring(head, 1, 2)), F.lit(0))
 
-#: kind: pattern, test of the whole text, validator, score without context, words that add 0.3.
+    def of(fixed: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            c, n = F.substr(tail, i, F.lit(1)), s["n"] + 1
+            r = F.when(c <= "9", s["r"] * 10 + value(c)).otherwise(s["r"] * 100 + value(c)) % 97
+            good = (n >= 15) & ((r * 1_000_000 + fixed["h"]) % 97 == 1) & ~F.substr(tail, i + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            most = F.when(good, i).otherwise(s["most"])
+            own = F.when(good & (n == fixed["size"]), i).otherwise(s["own"])
+            return F.when(c.rlike("[A-Z0-9]") & (n <= 34), F.struct(n.alias("n"), r.alias("r"), own.alias("own"), most.alias("most"))).otherwise(s)
+
+        zero = F.struct(F.lit(4).alias("n"), F.lit(0).alias("r"), F.lit(0).alias("own"), F.lit(0).alias("most"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(tail)), zero, step, lambda s: F.when(s["own"] > 0, s["own"]).otherwise(s["most"]))
+
+    return let(F.struct(h.alias("h"), size.alias("size")), of)
+
+
+def _ibans(places: Column, heads: Column, tails: Column) -> Column:
+    """places of heads to those of the numbers that begin there, without any that begin inside an earlier one."""
+    long = F.transform(places, lambda p: F.struct(p["start"].alias("start"), (p["end"] + _iban_end(F.element_at(heads, p["k"]), F.element_at(tails, p["k"]))).alias("end"), p["k"].alias("k")))
+    found = F.filter(long, lambda p: p["end"] - p["start"] > 4)
+    none = F.array().cast("array<struct<start:int,end:int,k:int>>")
+    return F.aggregate(found, none, lambda out, p: F.when((F.size(out) == 0) | (p["start"] >= F.try_element_at(out, F.lit(-1))["end"]), F.concat(out, F.array(p))).otherwise(out))
+
+
+#: kind: pattern, test of the whole text, validator (an IBAN's is in _ibans), score without context, words that add 0.3.
 KINDS: dict[str, tuple] = {
     "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++", lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), 0.7, "mail|contact|e-mail|correo|courriel"),
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: F.contains(t, F.lit(".")) & t.rlike(r"[0-9]\.[0-9]"), _ip_parts, 0.6, r"\bip\b|address|host|server"),
     "card": (_CARD, lambda t: t.rlike("[0-9](?:[\\x20-]?[0-9]){12}"), _card, 0.6, "card|visa|master|credit|karte|carte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(9, 15), 0.6, "phone|tel|call|mobile|fax"),
-    "iban": (_IBAN, lambda t: t.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}"), _mod97, 0.6, "iban|account|bank|konto|compte|cuenta"),
+    "iban": (_IBAN, lambda t: t.rlike("[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){4}"), None, 0.6, "iban|account|bank|konto|compte|cuenta"),
     "ssn": (_SSN, lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: ~m.substr(1, 3).isin("000", "666") & (m.substr(1, 1) != "9") & (m.substr(5, 2) != "00") & (m.substr(8, 4) != "0000"), 0.3, r"\bssn\b|social|security|tax"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -85,7 +119,10 @@ def _spans(text: Column, kind: str, rank: int) -> Column:
 
     def of_hits(hits: Column) -> Column:
         def of_pieces(pieces: Column) -> Column:
-            good = F.filter(_places(pieces, hits), lambda p: valid(F.element_at(hits, p["k"])))
+            if kind == "iban":
+                good = _ibans(_places(pieces, hits), hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+            else:
+                good = F.filter(_places(pieces, hits), lambda p: valid(F.element_at(hits, p["k"])))
 
             def scored(p: Column) -> Column:
                 low = F.greatest(p["start"] - CONTEXT, F.lit(0))

@@ -200,6 +200,33 @@ def test_pii_spans(spark, docs):
     assert masked[10**6 + 5].startswith("ü😀 IBAN [IBAN] my card [CARD] [EMAIL]; ssn [SSN] GB83")
 
 
+def iban_check(number):
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97
+
+
+GB, DE = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+#: Texts with the IBANs in them.
+IBAN_TEXTS = [
+    ("GB82WEST12345698765432 Please pay", ["GB82WEST12345698765432"]),
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    (f"{DE} 2024-01-02", [DE]),
+    (f"{GB} {DE} {GB}, NO9386011117947 {DE}", [GB, DE, GB, "NO9386011117947", DE]),
+    (f"REF AB12 {GB} A", [GB]),
+    ("G GB82 WE ST12345698765432 AND 1", ["GB82 WE ST12345698765432"]),
+    (f"{DE}x {DE}A {DE}0 x{DE} DE89370400440532013001 GB83 WEST 1234 5698 7654 32", []),
+    ("MT84MALT011000012345MTLCAST001S NOW ZZ62ABCDEFGHIJK TO", ["MT84MALT011000012345MTLCAST001S", "ZZ62ABCDEFGHIJK"]),
+]
+
+
+def test_ibans_end_where_they_do(spark):
+    assert iban_check("ZZ62ABCDEFGHIJK") == 1
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(IBAN_TEXTS)], "doc_id long, text string")
+    got = {r.doc_id: [IBAN_TEXTS[r.doc_id][0][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(IBAN_TEXTS)}
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert masked[0] == "[IBAN] Please pay" and masked[3] == "[IBAN] [IBAN] [IBAN], [IBAN] [IBAN]"
+
+
 @pytest.mark.parametrize("name", ["op6_pii", "op10_line_dedup"])
 def test_registered_sql(spark, docs, tmp_path, name):
     more = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(PII_TEXTS) if t is not None], "doc_id long, text string")
