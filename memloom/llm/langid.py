@@ -12,8 +12,8 @@ WINDOWS windows of each, chosen by a hash of the id; the training set is everyth
 held out and has a language. Whole texts are predicted, every byte, without moving them.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is everything if
-no row has a language; the MOST frequent languages are learned, ties by name; a null id is neither
-held out nor learned from; equal texts get equal predictions; an empty table gives no rows; other
+no row has a language; every language of the training set is learned, and more than MOST of them are an
+error; a null id is neither held out nor learned from; equal texts get equal predictions; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-SPAN, HIDDEN, SAMPLE, WINDOWS, TRAIN_SPAN, MOST = 256, 16, 400, 2, 96, 64
+SPAN, HIDDEN, SAMPLE, WINDOWS, TRAIN_SPAN, MOST = 256, 16, 400, 2, 96, 512
 EPOCHS, BATCH, RATE, SEED = 8, 96, 0.02, 11
-#: Windows that go through the network at once.
-WIDE = 2048
+#: Windows that go through the network at once with up to WIDE_LANGUAGES languages; with more, fewer.
+WIDE, WIDE_LANGUAGES = 2048, 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -167,9 +167,11 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteNetwork | None:
     """A network fitted on a bounded sample of the rows that are not held out."""
     rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).filter(~held_out(F.col(key)))
-    counts = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MOST).collect()
+    counts = rows.groupBy(lang).agg(F.count("*").alias("n")).limit(MOST + 1).collect()
     if not counts:
         return None
+    if len(counts) > MOST:
+        raise ValueError(f"{lang} has more than {MOST} values to learn")
     languages = sorted(r[0] for r in counts)
     every = {r[0]: max(1, r["n"] // (SAMPLE * 3 // 2)) for r in counts}
     pick = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
@@ -199,9 +201,10 @@ def predict(texts: list[str | None], net: ByteNetwork | None) -> list[tuple[str,
         return out
     x, lengths, of = windows([raw_bytes(texts[k]) for k in at], SPAN)
     sums, sizes = np.zeros((len(at), len(net.languages))), np.zeros(len(at))
-    for k in range(0, len(x), WIDE):
-        part = net.pooled(np.ascontiguousarray(x[k : k + WIDE].T), lengths[k : k + WIDE])
-        np.add.at(sums, of[k : k + WIDE], part)
+    wide = max(1, WIDE * WIDE_LANGUAGES // max(WIDE_LANGUAGES, len(net.languages)))
+    for k in range(0, len(x), wide):
+        part = net.pooled(np.ascontiguousarray(x[k : k + wide].T), lengths[k : k + wide])
+        np.add.at(sums, of[k : k + wide], part)
     np.add.at(sizes, of, lengths)
     p = sums / sizes[:, None]
     for k, row in zip(at, p):

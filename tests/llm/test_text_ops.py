@@ -372,6 +372,25 @@ def test_language_accuracy_on_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = []
+    for k in range(66):
+        letters = [chr(0x4E00 + 64 * k + j) for j in range(3)]
+        rows += [(100 * k + j, "".join(letters) * 30, f"l{k:02d}") for j in range(20 if k else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(df)
+    assert net.languages == [f"l{k:02d}" for k in range(66)]
+    got = langid.predict([t for _, t, _ in rows], net)
+    right = collections.Counter(lang for (_, _, lang), (said, _) in zip(rows, got) if said == lang)
+    assert sum(right.values()) > 0.95 * len(rows) and right["l00"] >= 11
+    monkeypatch.setattr(langid, "WIDE", 3)
+    again = langid.predict([t for _, t, _ in rows[:50]], net)
+    assert [x for x, _ in again] == [x for x, _ in got[:50]] and all(abs(x - y) < 1e-4 for (_, x), (_, y) in zip(again, got))
+    monkeypatch.setattr(langid, "MOST", 65)
+    with pytest.raises(ValueError):
+        langid.train(df)
+
+
 def test_language_edges(odd):
     net = langid.train(odd)
     got = langid.identify(odd, net).collect()
