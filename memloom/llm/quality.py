@@ -15,9 +15,10 @@ and source says where the bulk of its vectors lies:
 
 Covariances get a floor for each value, so a group in which nothing ever repeats does not reject
 the first text that does. Distances come from a Cholesky factor written as column expressions.
-Groups under LEAST rows are pooled by language, and pools under LEAST rows over all; a last pool
-under LEAST rows has no verdict of its own, and keeps what the base keeps. The tables of estimates
-have a row a group; whether they are broadcast is left to their size.
+Groups under LEAST rows are judged by the estimate of their whole language, and languages under
+LEAST rows by that of all rows; only a table of under LEAST rows that pass the base has no estimate,
+and keeps what the base keeps. The tables of estimates have a row a group; whether they are
+broadcast is left to their size.
 
 Defined cases: a null or empty text has no words and fails the base; null languages and sources
 are groups of their own; equal rows get equal verdicts; an empty table gives no rows; other
@@ -151,13 +152,20 @@ def _key(level: str, *parts: Column) -> Column:
 
 
 def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows with g, and the table that tells it: groups of LEAST rows or more, else the language's, else the last pool."""
-    small = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = small.filter(F.col("n") < LEAST).groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("pool"))
-    named = small.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
-    g = F.when(F.col("n") >= LEAST, _key("s", F.col("lang"), F.col("source"))).when(F.col("pool") >= LEAST, _key("l", F.col("lang"))).otherwise(_key("a"))
-    table = cut(named.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), g.alias("g")))
-    return with_group(rows, table), table
+    """rows, once for each estimate that they take part in, with its g; and the table of (lang, source) to the g that judges.
+
+    A group of LEAST rows or more judges itself, else its language, else all rows.
+    """
+    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    by_lang = sizes.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
+    total = by_lang.agg(F.sum("of_lang").alias("of_all"), F.min("of_lang").alias("least_lang"))
+    named = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(total)  # total is one row
+    own, whole, every = _key("s", F.col("lang"), F.col("source")), _key("l", F.col("lang")), _key("a")
+    g = F.when(F.col("n") >= LEAST, own).when(F.col("of_lang") >= LEAST, whole).otherwise(every)
+    asked = (F.col("least") < LEAST) & (F.col("of_lang") >= LEAST), (F.col("least_lang") < LEAST) & (F.col("of_all") >= LEAST)
+    parts = F.array_compact(F.array(F.when(F.col("n") >= LEAST, own), F.when(asked[0], whole), F.when(asked[1], every)))
+    table = cut(named.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), g.alias("g"), parts.alias("parts")))
+    return with_group(rows, table.drop("g")).withColumn("g", F.explode("parts")).drop("parts"), table.drop("parts")
 
 
 def with_group(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -225,11 +233,9 @@ def _with_scale(rows: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def _model(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (lang, source, failed, x0 ...): the table of groups and the estimates; the small pool has none."""
+    """From rows (lang, source, failed, x0 ...): the table of groups and the estimates."""
     grouped, table = _grouped(stats.filter("not failed"))
-    rows = grouped.select("g", *_X)
-    large = rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("g")
-    return table, estimate(cut(rows.join(large, "g", "left_semi")))
+    return table, estimate(cut(grouped.select("g", *_X)))
 
 
 def _judged(stats: DataFrame, table: DataFrame, at: DataFrame) -> DataFrame:

@@ -168,6 +168,18 @@ def test_outliers_are_found_and_the_rest_stays(spark):
     assert [k for k, *_ , bad in rows if got[k] == bad] == []
 
 
+@pytest.mark.parametrize("lang, source", [("en", "rare"), ("fr", "s"), (None, None)])
+def test_rare_groups_are_judged(spark, lang, source):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(4000)]
+    rows = [(k, " ".join(rng.choice(words, 120)), "en", "s") for k in range(120)]
+    rows += [(1000 + k, (text.upper() if k < 4 else text), lang, source) for k in range(12) if (text := " ".join(rng.choice(words, 120)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert sorted(k for k, r in got.items() if not r.kept) == [1000, 1001, 1002, 1003]
+    assert all(r.distance is not None for r in got.values())
+
+
 # -- personal data ----------------------------------------------------------------------------------
 
 
