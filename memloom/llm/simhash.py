@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, with_row_id
 from .components import connected_components
 
 SEED, WIDTH, RADIUS = 42, 4, 4
 #: A vantage-point tree's leaves, in fingerprints; shards larger than SHARD are dealt out in shells.
 LEAF, SHARD = 256, 200_000
-_STEP = 1 << 14
+_STEP, _ROW = 1 << 14, "__row"
 
 
 def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
@@ -181,12 +181,17 @@ def hamming_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD)
     return dealt.repartition("shard", "shell").sortWithinPartitions("shard", "shell").mapInArrow(lambda it: _forest_edges(it, radius), "a bigint, b bigint")
 
 
+def _component_classes(fps: DataFrame, rep, radius: int, shard: int) -> DataFrame:
+    """(fp, rep, component) of each distinct fp: the least rep of its rows, and what is the same for all that it reaches over links."""
+    classes = cut(fps.groupBy("fp").agg(F.min(rep).alias("rep")))
+    nodes = connected_components(hamming_links(classes, radius, shard))
+    return classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, seed: int = SEED, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(key, fp, component_id): each row's fingerprint and the smallest key that it reaches over links."""
     fps = cut(fingerprints(docs, text, key, width, seed))
-    classes = cut(fps.groupBy("fp").agg(F.min(key).alias("rep")))
-    nodes = connected_components(hamming_links(classes, radius, shard))
-    named = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _component_classes(fps, key, radius, shard)
     linked = named.filter("component is not null").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.join(linked, "component").select("fp", "component_id")
     return fps.join(of_class, "fp").select(key, "fp", "component_id")
@@ -198,24 +203,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest id.
+    """docs with one row of each near-duplicate group: that of the smallest id, and the first of several.
 
-    Rows without an id go if their group has one; of groups without any, each text stays once.
+    Rows without an id come last, so one stays only where its group has no id.
     """
-    found = cut(near_duplicates(docs, text, key))
-    rows, ids, nameless = found.agg(F.count(key), F.countDistinct(key), F.count(F.when(F.col(key).isNull(), 1))).first()
-    keep = found.filter(f"`{key}` = component_id").select(key).distinct()
-    kept = docs.join(keep.hint("merge"), key, "left_semi")  # ids to keep grow with the corpus: never broadcast
-    kept = kept.select(*docs.columns)
-    if rows != ids:
-        kept = kept.dropDuplicates([key])
-    if nameless:
-        alone = found.filter(f"`{key}` is null and component_id is null").select("fp").distinct()
-        own = docs.filter(f"`{key}` is null").dropDuplicates([text])
-        prints = fingerprints(own.select(F.col(text).alias("t")), "t", "t")
-        texts = prints.join(alone, "fp", "left_semi").select(F.col("t").alias("__t"))
-        kept = kept.unionByName(own.join(texts, own[text].eqNullSafe(F.col("__t")), "left_semi").select(*docs.columns))
-    return kept
+    rows = with_row_id(docs, _ROW)
+    at = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("k"), F.col(_ROW).alias("row"))
+    fps = cut(fingerprints(rows.select(at.alias("at"), F.col(text).alias("t")), "t", "at"))
+    named = _component_classes(fps, "at", RADIUS, SHARD)
+    keep = cut(named.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias(_ROW)))
+    return rows.join(keep.hint("merge"), _ROW, "left_semi").select(*docs.columns)  # rows to keep grow with the corpus: never broadcast
 
 
 __all__ = ["deduplicate", "fingerprint", "fingerprints", "hamming_links", "near_duplicates", "op7_simhash"]

@@ -83,6 +83,16 @@ def test_simhash_odd_rows(spark):
     assert not simhash.near_duplicates(df.limit(0)).count() and not simhash.deduplicate(df.limit(0)).count()
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    near = " ".join(f"c{k}" for k in range(60)), " ".join(f"C{k}  " for k in range(60))
+    assert (brute_print(near[0]) ^ brute_print(near[1])).bit_count() <= 4 and near[0] != near[1]
+    rows = [(1, words[0]), (1, words[1]), (2, words[1]), (None, near[0]), (None, near[1]), (None, words[0])]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 and {r.text for r in got if r.doc_id == 1} == set(words[:2])
+    assert [r.text in near for r in got if r.doc_id is None] == [True]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
