@@ -33,9 +33,10 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,-]{16,}?)-----END \1-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_HEX_CHARS = b"0123456789abcdef"
+_HEX_CHARS, _ANY_HEX_CHARS = b"0123456789abcdef", b"0123456789abcdefABCDEF"
 _B64_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _IS_HEX = np.isin(np.arange(256), list(_HEX_CHARS))
+_IS_ANY_HEX = np.isin(np.arange(256), list(_ANY_HEX_CHARS))
 _IS_B64 = np.isin(np.arange(256), list(_B64_CHARS))
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, B64_LEAST, HEX_KEY_LEAST = 12, 18, 16, 40, 64
 
@@ -77,7 +78,7 @@ def _children(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(b: bytes) -> bool:
-    """Whether b is a DER key: PKCS #1, PKCS #8, SEC 1 or a public key, by structure."""
+    """Whether b is a DER key: PKCS #1, DSA, PKCS #8 (plain or encrypted), SEC 1 or a public key, by structure."""
     top = _der(b, 0, len(b))
     if top is None or top[0] != 0x30 or top[2] != len(b):
         return False
@@ -94,10 +95,12 @@ def is_der_key(b: bytes) -> bool:
         version = items[0][2] - items[0][1] == 1
         if len(items) >= 9 and set(tags[:9]) == {0x02}:
             return version  # PKCS #1
+        if tags == [0x02] * 6:
+            return version and b[items[0][1]] == 0  # DSA: version 0, p, q, g, y, x
         if version and tags[1] == 0x30 and len(items) >= 3 and tags[2] == 0x04:
             return algorithm(1)  # PKCS #8
         return version and tags[1] == 0x04 and items[1][2] - items[1][1] in (28, 32, 48, 66)  # SEC 1
-    return tags == [0x30, 0x03] and algorithm(0)
+    return tags in ([0x30, 0x03], [0x30, 0x04]) and algorithm(0)  # a public key, or PKCS #8 encrypted
 
 
 def is_openssh_key(b: bytes) -> bool:
@@ -149,8 +152,8 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     chars = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)  # one byte a code point
     for a, b in runs(_IS_HEX[chars], HEX_LEAST):
         out.append((2, a, b))
-        if b - a >= HEX_KEY_LEAST and (b - a) % 2 == 0 and _is_key(bytes.fromhex(text[a:b])):
-            out.append((5, a, b))
+    found = {(a, b) for member in (_IS_HEX, _IS_ANY_HEX) for a, b in runs(member[chars], HEX_KEY_LEAST)}
+    out += [(5, a, b) for a, b in found if (b - a) % 2 == 0 and _is_key(bytes.fromhex(text[a:b]))]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             raw = _unbase64("".join(x for x in m[2].split() if ":" not in x and "," not in x))

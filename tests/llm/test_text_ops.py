@@ -285,6 +285,18 @@ def test_secrets():
     assert secret_scan.scan("é" + "a" * 20)[0][1:] == (1, 21)
 
 
+def test_secret_keys_of_every_kind():
+    kinds = lambda t: [secret_scan.KINDS[k] for k, _, _ in secret_scan.scan(t)]
+    upper, mixed = rsa_key().hex().upper(), "".join(c.upper() if k % 3 else c for k, c in enumerate(rsa_key().hex()))
+    assert "hex_key" in kinds(f"x {upper} y") and "hex_key" in kinds(mixed) and kinds(rsa_key().hex()) == ["hex", "hex_key"]
+    number = lambda n: der(2, bytes([1] * n))
+    dsa = der(0x30, der(2, b"\0") + b"".join(number(n) for n in (128, 20, 128, 128, 20)))
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, number(8))) + der(4, bytes(range(128))))
+    for name, raw in (("DSA PRIVATE KEY", dsa), ("ENCRYPTED PRIVATE KEY", locked)):
+        assert "pem_key" in kinds(f"-----BEGIN {name}-----\n{base64.b64encode(raw).decode()}\n-----END {name}-----") and kinds(raw.hex())[-1] == "hex_key"
+    assert not secret_scan.is_der_key(dsa.replace(der(2, b"\0"), der(2, b"\5"), 1)) and not secret_scan.is_der_key(locked[:-1])
+
+
 def test_secret_base_against_patterns(docs, odd):
     for df in (docs, odd):
         got = collections.Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scan.secret_digests(df).collect())
