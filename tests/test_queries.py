@@ -48,6 +48,11 @@ def test_rows(name, spark, sf):
     assert catalogue.queries()[name](spark, sf).limit(1).count() == 1
 
 
+def test_commitment_proofs_open_every_leaf(spark, sf):
+    rows = catalogue.queries()["commitment_proofs"](spark, sf).collect()
+    assert {r.idx for r in rows} == set(range(25)) and all(r.valid for r in rows)
+
+
 def test_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "log"))
     assert e.add(["bad"], 1)["status"] == "invalid"
