@@ -9,7 +9,13 @@ costs its padding plus the penalty of the cut that ends it, so
 
 and the minimum comes from a monotone queue, one push and pop a cut. Windows whose length is a
 power of two are not padded; they are extra transitions. Nothing is shuffled: a task plans its
-partition in bounded stretches and carries the unfinished end over to the next.
+partition as it comes, and lets go of what is settled: the chains of all cuts that a later window
+can begin at share their beginnings, and these are the cheapest whatever follows. So the plan is
+the cheapest of the whole partition, in the memory of a stretch and what is not settled yet.
+
+The order is that of the rows in a partition, so windows follow the table's layout: another layout
+of the same rows gives other cuts and numbers, but the same ids in pieces that cover each document.
+A partition that is computed again, after a lost executor, reads the same split and gives the same rows.
 
 Defined cases: a null or empty text is one piece, its end id; a text longer than a window spans
 several; equal documents are packed one by one; an empty table gives no rows; other columns are
@@ -35,7 +41,7 @@ END_ID = 1
 WINDOW_COST, SENTENCE_COST, INNER_COST = 24, 8, 96
 #: Sentence ends nearer to each other than this are one candidate; longer sentences get inner candidates.
 NEAR, LONG, INNER_STEP = 8, 256, 32
-#: Tokens planned at once.
+#: Tokens gathered before what is settled is let go; it has no influence on the plan.
 STRETCH = 1 << 19
 OUT = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -49,30 +55,45 @@ def sentence_ends(enc) -> np.ndarray:
     return table
 
 
-def candidates(ends: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where the stream of documents may be cut, from 0 to its end, and their penalties.
+def candidates(n: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a document of n tokens may be cut, its end the last, and their penalties.
 
-    ends: for each document the positions after sentence ends, inside it; lengths: in tokens.
+    ends: sorted places after sentence ends; of those near to each other the first counts.
+    """
+    soft = ends[(ends > 0) & (ends < n)]
+    if len(soft):
+        group = soft // NEAR
+        soft = soft[np.concatenate([[True], group[1:] != group[:-1]])]
+    at = np.concatenate([soft, [n]])
+    cost = np.full(len(at), SENTENCE_COST)
+    cost[-1] = 0
+    before = np.concatenate([[0], at[:-1]])
+    if (at - before).max() <= LONG:
+        return at, cost
+    inner = np.concatenate([np.arange(a + INNER_STEP, b, INNER_STEP) for a, b in zip(before, at) if b - a > LONG])
+    order = np.argsort(np.concatenate([at, inner]), kind="stable")
+    return np.concatenate([at, inner])[order], np.concatenate([cost, np.full(len(inner), INNER_COST)])[order]
+
+
+def settled(back: list[int], first: int) -> int:
+    """The last cut that the chains of all cuts from first on share."""
+    alive = [False] * first + [True] * (len(back) - first)
+    count, j = len(back) - first, len(back) - 1
+    while True:
+        if alive[j]:
+            if count == 1:
+                return j
+            if alive[back[j]]:
+                count -= 1
+            alive[back[j]] = True
+        j -= 1
+
+
+def plan(at: np.ndarray, cost: np.ndarray, width: int = WIDTH, last: bool = True) -> list[int]:
+    """Positions of the cheapest chain of cuts from at[0] to at[-1]; ties go to the longer window.
+
+    If more follows (not last), as much of the chain as is settled.
     """
-    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    sentences = [np.zeros(0, np.int64)]
-    for base, n, inside in zip(bounds, lengths, ends):
-        inside = inside[(inside > 0) & (inside < n)]
-        if len(inside):
-            _, first = np.unique(inside // NEAR, return_index=True)
-            sentences.append(base + inside[first])
-    soft = np.setdiff1d(np.concatenate(sentences), bounds)
-    known = np.sort(np.concatenate([bounds, soft]))
-    inner = [np.arange(a + INNER_STEP, b, INNER_STEP) for a, b in zip(known, known[1:]) if b - a > LONG]
-    inner = np.concatenate([np.zeros(0, np.int64), *inner])
-    at = np.concatenate([np.unique(bounds), soft, inner])
-    cost = np.concatenate([np.zeros(len(np.unique(bounds))), np.full(len(soft), SENTENCE_COST), np.full(len(inner), INNER_COST)]).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    return at[order], cost[order]
-
-
-def plan(at: np.ndarray, cost: np.ndarray, width: int = WIDTH) -> list[int]:
-    """Positions of the cheapest chain of cuts from at[0] to at[-1]; ties go to the longer window."""
     n = len(at)
     even: dict[int, list[int]] = {}
     k = 64
@@ -103,7 +124,8 @@ def plan(at: np.ndarray, cost: np.ndarray, width: int = WIDTH) -> list[int]:
                 if (b2 := best[i2] + extra[j] - width + p[j]) < b:
                     b, i = b2, i2
         best[j], back[j] = b, i
-    out, j = [p[-1]], n - 1
+    j = n - 1 if last else settled(back, int(np.searchsorted(at, at[-1] - width, "right")))
+    out = [p[j]]
     while j:
         j = back[j]
         out.append(p[j])
@@ -111,43 +133,47 @@ def plan(at: np.ndarray, cost: np.ndarray, width: int = WIDTH) -> list[int]:
 
 
 class _Packer:
-    """Plans a stream of documents in stretches."""
+    """Plans a stream of documents."""
 
-    def __init__(self, first_id: int):
-        self.docs: list[list] = []  # key, tokens in all, start of what is left, ids left, sentence ends left
-        self.size = 0
+    def __init__(self, first_id: int, stretch: int | None = None):
+        self.docs: list[list] = []  # key, ids, tokens used, places of cuts, their penalties
+        self.size, self.stretch = 0, stretch or STRETCH
+        self.limit = self.stretch
         self.next_id = first_id
         self.rows: list[tuple] = []
 
     def add(self, key, ids: np.ndarray, ends: np.ndarray) -> None:
-        self.docs.append([key, len(ids), 0, ids, ends])
+        self.docs.append([key, ids, 0, *candidates(len(ids), ends)])
         self.size += len(ids)
-        if self.size >= STRETCH:
+        if self.size >= self.limit:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
         if not self.docs:
             return
-        at, cost = candidates([d[4] for d in self.docs], [len(d[3]) for d in self.docs])
-        cuts = plan(at, cost)
-        if not last:
-            cuts = cuts[: max(2, len(cuts) - 8)]  # the end is planned again with what follows
-        k = used = 0
+        at, cost, base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
+        for _, ids, used, places, penalties in self.docs:
+            k = np.searchsorted(places, used, "right") if used else 0
+            at.append(places[k:] + (base - used))
+            cost.append(penalties[k:])
+            base += len(ids) - used
+        cuts = plan(np.concatenate(at), np.concatenate(cost), last=last)
+        k, used = 0, self.docs[0][2]
         for a, b in zip(cuts, cuts[1:]):
             where, left = a, 0
             while where < b:
-                key, total, start, ids, _ = self.docs[k]
+                key, ids = self.docs[k][:2]
                 n = min(len(ids) - used, b - where)
-                self.rows.append((key, start + used, n, zlib.crc32(ids[used : used + n].tobytes()), total, self.next_id, left))
+                self.rows.append((key, used, n, zlib.crc32(ids[used : used + n].tobytes()), len(ids), self.next_id, left))
                 where, left, used = where + n, left + n, used + n
                 if used == len(ids):
                     k, used = k + 1, 0
             self.next_id += 1
         self.docs = self.docs[k:]
-        if used:
-            d = self.docs[0]
-            d[2], d[3], d[4] = d[2] + used, d[3][used:], d[4] - used
-        self.size = sum(len(d[3]) for d in self.docs)
+        if self.docs:
+            self.docs[0][2] = used
+        self.size = base - cuts[-1]
+        self.limit = max(self.stretch, 2 * self.size)
 
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER_FILE) -> DataFrame:

@@ -1,15 +1,23 @@
 """Near-duplicates by 64-bit SimHash, linked within a Hamming radius through vantage-point trees.
 
-A vantage-point tree over whole 64-bit fingerprints prunes next to nothing at a radius of 4: the
-distances of unrelated fingerprints concentrate at 32 +- 4, so two thirds of all points lie in the
-boundary of every cut. The first level therefore measures the distance on one of radius + 1 bit
-blocks at a time. That is a metric too, no larger than the whole distance, and by the pigeonhole
-rule a pair within the radius has distance 0 in some block: its ball lies in one shard, and shards
-need no overlap. Below that level a shard is a vantage-point tree on the whole distance: a cut at
-mu sends d <= mu inwards and d > mu outwards, and by the triangle inequality only points with
-d in (mu - r, mu + r] can have partners across. Shards that are too large for a task are first
-dealt out in shells of r + 1 around a vantage point, each fingerprint also to the next shell,
-which holds all partners it can have outside its own.
+A vantage-point tree cuts a set at a distance mu from one of its points: what lies within mu goes
+inwards, what lies beyond goes outwards, and by the triangle inequality a pair within the reach r
+that is parted by the cut has both distances in (mu - r, mu + r]. The inner ends of such pairs,
+those beyond mu - r, therefore go to both sides, so that every linked pair meets in some leaf.
+
+One tree over all 64 bits cuts little at a radius of 4: distances of unrelated fingerprints
+concentrate at 32 +- 4, so a cut sends a third of all points to both sides, and the work grows as
+n to the power 1.9. The bits are therefore dealt to TREES parts with a tree each. The Hamming
+distance on a part is a metric, too, and a pair within the radius differs in at most
+radius // TREES bits of some part, so its reach is 1 there: a cut copies a sixth of the points,
+and the work grows as n to the power 1.3. Points that a part's distance cannot tell apart are cut
+by the whole distance with its own reach.
+
+* The upper levels are grown on the driver from at most SAMPLE fingerprints, until their leaves
+  hold about SHARD of all; each fingerprint is sent to its leaf and to those whose boundary it is in.
+* Shards of more than LARGE are cut again and again, each by a vantage point of its own, in joins
+  and counts; one that no cut makes smaller is dealt out in blocks, every two of which meet.
+* Each shard is searched by one task, by the same cuts down to LEAF points, which are compared.
 
 All is exact. Equal fingerprints are one class before any search; a shard gives the edges of a
 spanning forest, never all pairs of a group; classes are joined by connected components.
@@ -26,15 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, with_row_id
+from .common import cut, drop_cut, read_table, with_row_id
 from .components import connected_components
 
 SEED, WIDTH, RADIUS = 42, 4, 4
-#: A vantage-point tree's leaves, in fingerprints; shards larger than SHARD are dealt out in shells.
-LEAF, SHARD = 256, 200_000
+#: Parts of the bits with a tree each; fingerprints in a leaf, in a shard as the upper levels aim at, and in one that a task may hold.
+TREES, LEAF, SHARD, LARGE = 3, 512, 1 << 14, 1 << 20
+#: Fingerprints that the upper levels are grown from, and the fewest of them that are cut.
+SAMPLE, LEAST = 1 << 18, 32
+#: Vantage points tried for a cut, and the share of the points that the larger side may keep.
+TRIED, WORTH = 4, 0.9
 _STEP, _ROW = 1 << 14, "__row"
 
 
@@ -70,128 +82,243 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp bigint")
 
 
+def _parts(radius: int, trees: int) -> list[tuple[int, int]]:
+    """(mask, reach) of each tree: a part of the bits, and how far apart a linked pair is in one of the parts at most."""
+    ends = [64 * k // trees for k in range(trees + 1)]
+    return [((1 << b) - (1 << a), radius // trees) for a, b in zip(ends, ends[1:])]
+
+
+def _distances(x: np.ndarray, vantage: int, mask: int) -> np.ndarray:
+    return np.bitwise_count((x ^ np.uint64(vantage)) & np.uint64(mask)).astype(np.int16)
+
+
+def _cut(x: np.ndarray, metrics: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """(vantage, mask, reach, mu) of the cut of x that leaves the fewest pairs, by the first metric that is worth it."""
+    tried = x[:: max(1, len(x) // TRIED)][:TRIED].tolist()
+    for mask, reach in metrics:
+        best = (WORTH * len(x) ** 2,)
+        for v in tried:
+            inner = np.cumsum(np.bincount(_distances(x, v, mask), minlength=65)).astype(float)
+            outer = len(x) - np.concatenate([np.zeros(reach), inner])[:65]
+            pairs = inner**2 + outer**2
+            mu = int(pairs.argmin())
+            best = min(best, (pairs[mu], v, mu))
+        if len(best) > 1:
+            return best[1], mask, reach, best[2]
+    return None
+
+
+def _sides(x: np.ndarray, at: np.ndarray, cut_at: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The places at of x that go inwards, and those that go outwards."""
+    vantage, mask, reach, mu = cut_at
+    d = _distances(x[at], vantage, mask)
+    return at[d <= mu], at[d > mu - reach]
+
+
+#: A tree's nodes: a cut with its inner and outer node, or the number of a leaf.
+_Tree = list
+
+
+def grow(sample: np.ndarray, least: float, metrics: list[tuple[int, int]]) -> _Tree:
+    """A tree over a sample whose leaves hold fewer than least of its points, where cuts reach that far."""
+    nodes: _Tree = [None]
+    stack, leaves = [(0, np.arange(len(sample)))], 0
+    while stack:
+        node, at = stack.pop()
+        found = _cut(sample[at], metrics) if len(at) > max(least, LEAST) else None
+        if found is None:
+            nodes[node], leaves = leaves, leaves + 1
+            continue
+        nodes[node] = (found, len(nodes), len(nodes) + 1)
+        nodes += [None, None]
+        stack += list(zip(nodes[node][1:], _sides(sample, at, found)))
+    return nodes
+
+
+def route(x: np.ndarray, tree: _Tree) -> tuple[np.ndarray, np.ndarray]:
+    """(place in x, leaf) of every leaf that each point belongs to."""
+    places, leaves = [], []
+    stack = [(0, np.arange(len(x)))]
+    while stack:
+        node, at = stack.pop()
+        if not len(at):
+            continue
+        if isinstance(tree[node], int):
+            places.append(at)
+            leaves.append(np.full(len(at), tree[node], np.int64))
+        else:
+            found, inner, outer = tree[node]
+            stack += list(zip((inner, outer), _sides(x, at, found)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *places]), np.concatenate([none, *leaves])
+
+
 class _Forest:
-    """Links of one shard, kept as a spanning forest."""
+    """Links of one shard, kept as a spanning forest: each point's group, and the points of each group."""
 
     def __init__(self, x: np.ndarray, radius: int):
         self.x, self.radius = x, radius
         self.label = np.arange(len(x))
+        self.members: dict[int, list[int]] = {}
         self.edges: list[tuple[int, int]] = []
 
     def _join(self, a: int, near: np.ndarray) -> None:
-        label = self.label
-        found, first = np.unique(label[near], return_index=True)
-        for other, k in zip(found.tolist(), first.tolist()):
-            mine = label[a]
-            if other != mine:
-                self.edges.append((a, int(near[k])))
-                label[label == max(other, mine)] = min(other, mine)
-
-    def across(self, s: np.ndarray, t: np.ndarray) -> None:
-        """All pairs of s and t within the radius (s is t: within s), in blocks."""
-        same, step = s is t, max(1, (1 << 20) // max(1, len(t)))
+        own, others = int(self.label[a]), self.label[near]
+        new = others != own
+        if not new.any():
+            return
+        found, first = np.unique(others[new], return_index=True)
+        self.edges += [(a, k) for k in near[new][first].tolist()]
+        groups = [own, *found.tolist()]
+        of = [self.members.pop(g, None) or [g] for g in groups]
+        large = max(range(len(groups)), key=lambda k: len(of[k]))
+        for k, some in enumerate(of):  # the smaller groups take the largest one's label
+            if k != large:
+                self.label[some] = groups[large]
+                of[large].extend(some)
+        self.members[groups[large]] = of[large]
+
+    def compare(self, s: np.ndarray) -> None:
+        """All pairs of s, in blocks, until they are one group."""
+        step = max(1, (1 << 20) // max(1, len(s)))
         for k in range(0, len(s), step):
-            rows = s[k : k + step]
-            cols = t[k:] if same else t
+            rows, cols = s[k : k + step], s[k:]
+            if (self.label[s] == self.label[s[0]]).all():
+                return
             hit = np.bitwise_count(self.x[rows][:, None] ^ self.x[cols][None, :]) <= self.radius
-            if same:
-                hit &= np.arange(len(cols))[None, :] > np.arange(len(rows))[:, None]
+            hit &= np.arange(len(cols))[None, :] > np.arange(len(rows))[:, None]
             for r in np.flatnonzero(hit.any(axis=1)).tolist():
                 self._join(int(rows[r]), cols[hit[r]])
 
-    def search(self) -> None:
+    def search(self, metrics: list[tuple[int, int]]) -> None:
         stack = [np.arange(len(self.x))]
         while stack:
             s = stack.pop()
-            if len(s) <= LEAF:
-                self.across(s, s)
-                continue
-            tried = self.x[s[:: max(1, len(s) // 4)][:4]]
-            d = np.bitwise_count(self.x[s][:, None] ^ tried[None, :]).astype(np.int16)
-            d = d[:, int(np.argmax(d.var(axis=0)))]  # the vantage point that spreads the others most
-            mu = int(np.median(d))
-            low = d <= mu
-            if low.all():
-                mu -= 1
-                low = d <= mu
-            inner, outer = s[low], s[~low]
-            near, far = s[low & (d > mu - self.radius)], s[~low & (d <= mu + self.radius)]
-            if not len(inner) or not len(outer):
-                self.across(s, s)
-                continue
-            stack += [inner, outer]
-            self.across(near, far)
-
-
-def _forest_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, shell, fp) sorted by shard and shell, to the edges of each shard's forest."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    out_a, out_b = [], []
+            found = _cut(self.x[s[:: max(1, len(s) // 2048)]], metrics) if len(s) > LEAF else None
+            parts = _sides(self.x, s, found) if found else ()
+            if found and max(map(len, parts)) < len(s):
+                stack += parts
+            else:
+                self.compare(s)
+
+
+def _forest_edges(batches: Iterator[pa.RecordBatch], radius: int, metrics: list[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, tree, fp) sorted by shard, to the edges of each shard's forest."""
+    held: list[np.ndarray] = []
+    out: list[np.ndarray] = []
+    last = None
 
     def done() -> None:
-        x = np.unique(np.concatenate([h[1] for h in held])).view("<u8")
+        x = np.unique(np.concatenate(held)).view("<u8")
         if len(x) > 1:
             forest = _Forest(x, radius)
-            forest.search()
-            for a, b in forest.edges:
-                out_a.append(int(x[a]))
-                out_b.append(int(x[b]))
+            forest.search(metrics[last[1]])
+            if forest.edges:
+                out.append(x[np.array(forest.edges)].view("<i8"))
 
-    def out() -> pa.RecordBatch:
-        cols = [pa.array(np.array(c, dtype="<u8").view("<i8")) for c in (out_a, out_b)]
-        out_a.clear()
-        out_b.clear()
-        return pa.record_batch(cols, names=["a", "b"])
-
-    last = None
     for batch in batches:
-        shard = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)], axis=1)
+        names = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)], axis=1)
         fp = np.asarray(batch.column(2))
-        ends = np.flatnonzero((shard[1:] != shard[:-1]).any(axis=1)) + 1
+        ends = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
         for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(fp)]):
             if a == b:
                 continue
-            name = tuple(shard[a].tolist())
+            name = tuple(names[a].tolist())
             if name != last and held:
                 done()
                 held = []
             last = name
-            held.append((shard[a], fp[a:b]))
-        if len(out_a) > 10_000:
-            yield out()
+            held.append(fp[a:b])
+        if out:
+            a, b = np.concatenate(out).T
+            out = []
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
     if held:
         done()
-    if out_a:
-        yield out()
+    if out:
+        a, b = np.concatenate(out).T
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def hamming_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def _cut_large(rows: DataFrame, parts: list[tuple[int, int]], radius: int, large: int) -> DataFrame:
+    """Rows (shard, tree, level, fp) of shards that are too large, in other shards: one cut of each.
+
+    Levels: 0 is cut by a part's distance, 1 by the whole one, where the part's is no use; what that does not
+    cut, either, is dealt out in blocks of half of large, a shard for every two of them, and is at level 2.
+    A shard has one row in the tables that it meets, and at most 65 in the counts by distance.
+    """
+    level, by = F.col("level"), Window.partitionBy("shard").orderBy("d")
+    mask = F.when(level == 1, F.lit(-1).cast("long")).otherwise(F.element_at(F.array(*[F.lit(_signed(m)).cast("long") for m, _ in parts]), F.col("tree") + 1))
+    heads = cut(rows.groupBy("shard").agg(F.min_by("fp", F.xxhash64("fp", "shard")).alias("vantage"), F.count("*").alias("n")))
+    placed = rows.join(heads, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")).bitwiseAND(mask)))
+    counts = placed.groupBy("shard", "level", "n", "d").agg(F.count("*").alias("c"))
+
+    def upto(back: int) -> Column:
+        return F.coalesce(F.sum("c").over(by.rangeBetween(Window.unboundedPreceding, -back)), F.lit(0)).cast("double")
+
+    outer = F.col("n") - F.when(level == 1, upto(radius)).otherwise(upto(parts[0][1]))
+    pairs = counts.select("shard", "n", F.col("d").alias("mu"), (upto(0) * upto(0) + outer * outer).alias("pairs"))
+    best = cut(pairs.groupBy("shard", "n").agg(F.min(F.struct("pairs", "mu")).alias("b")).select("shard", F.when(F.col("b.pairs") <= WORTH * F.col("n") * F.col("n"), F.col("b.mu")).alias("mu")))
+    placed = placed.join(best, "shard")
+    reach = F.when(level == 1, F.lit(radius)).otherwise(F.lit(parts[0][1]))
+    sides = F.array_compact(F.array(F.when(F.col("d") <= F.col("mu"), F.lit(0)), F.when(F.col("d") > F.col("mu") - reach, F.lit(1))))
+    blocks = F.ceil(F.col("n") * 2 / large).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("shard", F.least(k, own), F.greatest(k, own)))
+    halves = F.transform(sides, lambda k: F.xxhash64("shard", k))
+    to = F.when(F.col("mu").isNotNull(), halves).when(level == 0, F.array("shard")).otherwise(pairs_of)
+    return placed.select(F.explode(to).alias("shard"), "tree", F.when(F.col("mu").isNull(), level + 1).otherwise(level).alias("level"), "fp")
+
+
+def hamming_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, large: int = LARGE, trees: int = TREES) -> DataFrame:
     """(a, b) over the distinct longs of classes.fp: a spanning forest per shard of the links within radius."""
-    n = radius + 1
-    widths = [64 // n + (k < 64 % n) for k in range(n)]
-    shifts = [sum(widths[:k]) for k in range(n)]
-    keys = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).bitwiseOR(F.lit(k << 58).cast("long")) for k, (w, s) in enumerate(zip(widths, shifts))]
-    dealt = classes.select("fp", F.explode(F.array(*keys)).alias("shard"))
-    large = dealt.groupBy("shard").agg(F.count("*").alias("size"), F.min("fp").alias("vantage")).filter(F.col("size") > shard)
-    if large.limit(1).count():
-        shell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))) / n).cast("int")
-        dealt = dealt.join(large.drop("size"), "shard", "left").select("shard", F.explode(F.when(F.col("vantage").isNull(), F.array(F.lit(0))).otherwise(F.array(shell, shell + 1))).alias("shell"), "fp")
-    else:
-        dealt = dealt.select("shard", F.lit(0).alias("shell"), "fp")
-    return dealt.repartition("shard", "shell").sortWithinPartitions("shard", "shell").mapInArrow(lambda it: _forest_edges(it, radius), "a bigint, b bigint")
-
-
-def _component_classes(fps: DataFrame, rep, radius: int, shard: int) -> DataFrame:
+    spark, parts = classes.sparkSession, _parts(radius, trees)
+    metrics = [[p, ((1 << 64) - 1, radius)] for p in parts]
+    n = classes.count()
+    wanted = min(SAMPLE, 8 * LEAST * n // shard)
+    grown: list[_Tree] = [[0]] * trees
+    if n > shard:
+        some = classes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) <= int(wanted / n * (1 << 40))).select("fp").toArrow()  # about as many as wanted, whatever n is
+        sample = np.sort(some.column("fp").combine_chunks().to_numpy()).view("<u8")
+        grown = [grow(sample, shard * len(sample) / n, own[:1]) for own in metrics]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy().view("<u8")
+            for k, tree in enumerate(grown):
+                at, leaf = route(x, tree)
+                whole = np.full(len(at), k, np.int32)
+                yield pa.record_batch([pa.array(leaf + (k << 40)), pa.array(whole), pa.array(whole * 0), pa.array(x[at].view("<i8"))], names=["shard", "tree", "level", "fp"])
+
+    dealt = cut(classes.select("fp").mapInArrow(deal, "shard bigint, tree int, level int, fp bigint"))
+    while True:
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("level").alias("level"))
+        most, total = sizes.agg(F.max(F.when(F.col("level") < 2, F.col("n"))), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if (most or 0) <= large:
+            break
+        over = cut(sizes.filter((F.col("n") > large) & (F.col("level") < 2)).select("shard"))
+        smaller = cut(dealt.join(over, "shard", "left_anti").unionByName(_cut_large(dealt.join(over, "shard", "left_semi"), parts, radius, large)))
+        drop_cut(dealt)
+        dealt = smaller
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 17)))
+    return dealt.select("shard", "tree", "fp").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _forest_edges(it, radius, metrics), "a bigint, b bigint")
+
+
+def _component_classes(fps: DataFrame, rep, radius: int) -> DataFrame:
     """(fp, rep, component) of each distinct fp: the least rep of its rows, and what is the same for all that it reaches over links."""
     classes = cut(fps.groupBy("fp").agg(F.min(rep).alias("rep")))
-    nodes = connected_components(hamming_links(classes, radius, shard))
+    nodes = connected_components(hamming_links(classes, radius))
     return classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, seed: int = SEED, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """(key, fp, component_id): each row's fingerprint and the smallest key that it reaches over links."""
     fps = cut(fingerprints(docs, text, key, width, seed))
-    named = _component_classes(fps, key, radius, shard)
+    named = _component_classes(fps, key, radius)
     linked = named.filter("component is not null").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.join(linked, "component").select("fp", "component_id")
     return fps.join(of_class, "fp").select(key, "fp", "component_id")
@@ -210,7 +337,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     rows = with_row_id(docs, _ROW)
     at = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("k"), F.col(_ROW).alias("row"))
     fps = cut(fingerprints(rows.select(at.alias("at"), F.col(text).alias("t")), "t", "at"))
-    named = _component_classes(fps, "at", RADIUS, SHARD)
+    named = _component_classes(fps, "at", RADIUS)
     keep = cut(named.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias(_ROW)))
     return rows.join(keep.hint("merge"), _ROW, "left_semi").select(*docs.columns)  # rows to keep grow with the corpus: never broadcast
 

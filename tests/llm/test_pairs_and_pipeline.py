@@ -9,10 +9,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from memloom.llm import ann, components, packing, pii, quality, simhash
+from memloom.llm import ann, bpe, components, packing, pii, quality, simhash
 from memloom.llm import queries as registered
 
-from .test_text_ops import CLASH, SPACE, lower_ascii, removed_lines
+from .test_text_ops import CLASH, SPACE, lower_ascii, removed_lines, whole_pieces
 
 
 def brute_print(text):
@@ -48,29 +48,60 @@ def test_simhash_components(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
-@pytest.mark.parametrize("shard", [200_000, 60])
-def test_vantage_points_lose_no_link(spark, shard):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 25, dtype=np.uint64)
-    parts = [base]
-    for _ in range(40):
-        flips = np.zeros(25, np.uint64)
-        for _ in range(3):
-            flips |= np.uint64(1) << rng.integers(0, 64, 25, dtype=np.uint64)
-        parts.append(base ^ flips)
-    x = np.unique(np.concatenate([*parts, rng.integers(0, 2**63, 500, dtype=np.uint64)]))
+def linked(n, pairs):
+    """Groups of two or more of 0 .. n - 1 that pairs join."""
+    parent = list(range(n))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    groups = collections.defaultdict(list)
+    for k in range(n):
+        groups[root(k)].append(k)
+    return sorted(g for g in groups.values() if len(g) > 1)
+
+
+def planted_prints(unrelated, copies, flips, hub, seed):
+    """Unrelated fingerprints, near copies of some of them, and many near copies of one."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, unrelated, dtype=np.uint64)
+    near, many = base[:copies].copy(), np.repeat(base[:1], hub)
+    for some, times in ((near, flips), (many, 3)):
+        for _ in range(times):
+            some ^= np.uint64(1) << rng.integers(0, 64, len(some), dtype=np.uint64)
+    return np.unique(np.concatenate([base, near, many]))
+
+
+def near_pairs(x, radius):
+    for k in range(0, len(x), 256):
+        rows, cols = np.nonzero(np.bitwise_count(x[k : k + 256][:, None] ^ x[None, :]) <= radius)
+        yield from zip((rows + k).tolist(), cols.tolist())
+
+
+#: The last three settings cut with one tree, cut large shards again, and deal out in blocks what no cut makes smaller.
+@pytest.mark.parametrize("size, settings", [(20_000, {}), (1500, {"shard": 200, "trees": 1}), (1500, {"shard": 300, "large": 250}), (1000, {"large": 500})])
+def test_vantage_points_lose_no_link(spark, size, settings):
+    x = planted_prints(size, size // 10, 4, size // 16, 5)
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
-    edges = simhash.hamming_links(df, 4, shard)
-    got = {r.node: r.component for r in components.connected_components(edges).collect()}
     place = {int(v): k for k, v in enumerate(x.view(np.int64))}
-    want = brute_components({k: int(v) for k, v in enumerate(x)})
-    groups = collections.defaultdict(set)
-    for node, c in got.items():
-        groups[c].add(place[node])
-    expected = collections.defaultdict(set)
-    for k, c in want.items():
-        expected[c].add(k)
-    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1)
+    edges = [(place[r.a], place[r.b]) for r in simhash.hamming_links(df, **settings).collect()]
+    radius = settings.get("radius", simhash.RADIUS)
+    assert all((int(x[a]) ^ int(x[b])).bit_count() <= radius for a, b in edges)
+    assert linked(len(x), edges) == linked(len(x), near_pairs(x, radius))
+
+
+def test_trees_cut_and_overlap():
+    x = planted_prints(20_000, 0, 0, 0, 2)
+    for part in simhash._parts(4, 3):
+        tree = simhash.grow(x, 2000, [part])
+        at, leaf = simhash.route(x, tree)
+        sizes = np.bincount(leaf)
+        assert len(sizes) > 8 and sizes.max() <= 2000 and len(x) < len(at) < 4 * len(x) and set(at) == set(range(len(x)))
 
 
 def test_simhash_odd_rows(spark):
@@ -176,7 +207,10 @@ def test_pipeline_against_brute_force(spark, sf):
     assert all((r.text != was[r.doc_id]) == bool(spans[r.doc_id]) for r in made[3][1].collect())
     assert not any(s for r in pii.find_pii(made[3][1]).collect() for s in r.spans if s.kind in ("email", "card", "phone"))
     assert made[4][1].select("doc_id").distinct().count() == made[4][0].count()
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "length").collect())) == sorted(map(tuple, made[4][1].select("doc_id", "length").collect()))
+    texts = {r.doc_id: r.text for r in made[4][0].collect()}
+    enc = bpe.encoder()
+    for rows in (made[4][1].collect(), corpus_pipeline.run(spark, sf).collect()):  # cuts follow the partitions, what is packed does not
+        whole_pieces({k: [*enc.encode(t).tolist(), packing.END_ID] for k, t in texts.items()}, rows)
 
 
 def test_stages_take_odd_rows(spark, sf):

@@ -108,28 +108,46 @@ def test_plan_is_the_cheapest():
         assert total == best_cost(at.tolist(), cost.tolist(), 256)
 
 
+def whole_pieces(ids, pieces):
+    """Checks that pieces cover the ids of each document once, in windows without gaps of 2048 at most."""
+    seen, windows = collections.defaultdict(int), collections.defaultdict(list)
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        own = np.array(ids[p.doc_id], "<u4")
+        assert p.start == seen[p.doc_id] and p.doc_tokens == len(own)
+        assert p.ids_crc32 == zlib.crc32(own[p.start : p.start + p.length].tobytes())
+        seen[p.doc_id] += p.length
+        windows[p.sequence_id].append((p.offset, p.length))
+    assert seen == {k: len(v) for k, v in ids.items()}
+    for w in windows.values():
+        at = 0
+        for offset, n in sorted(w):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
 def test_pieces_cover_every_id(docs, odd, library):
-    for df in (docs, odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
-        ids = {r.doc_id: np.array(library.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4") for r in df.select("doc_id", "text").collect()}
-        pieces = packing.pack(df).collect()
-        seen, windows = collections.defaultdict(int), collections.defaultdict(list)
-        for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
-            assert p.start == seen[p.doc_id] and p.doc_tokens == len(ids[p.doc_id])
-            assert p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes())
-            seen[p.doc_id] += p.length
-            windows[p.sequence_id].append((p.offset, p.length))
-        assert seen == {k: len(v) for k, v in ids.items()}
-        for w in windows.values():
-            at = 0
-            for offset, n in sorted(w):
-                assert offset == at
-                at += n
-            assert at <= 2048
-    sizes = [sum(n for _, n in w) for w in windows.values()]
-    assert sizes
+    for df in (docs, docs.repartition(7), odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        ids = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [1] for r in df.select("doc_id", "text").collect()}
+        whole_pieces(ids, packing.pack(df).collect())
     assert not packing.pack(empty(odd)).count()
 
 
+@pytest.mark.parametrize("stretch", [1, 300, 5000])
+def test_stretches_change_no_window(stretch):
+    rng = np.random.default_rng(4)
+    whole, parts = packing._Packer(0), packing._Packer(0, stretch)
+    for k in range(400):
+        n = int(rng.choice([1, 7, 60, 500, 3000]))
+        ids, ends = rng.integers(2, 9, n, dtype="<u4"), np.flatnonzero(rng.random(n) < 0.01) + 1
+        whole.add(k, ids, ends)
+        parts.add(k, ids, ends)
+        assert parts.size < 60_000 + 2 * stretch
+    whole.flush(True)
+    parts.flush(True)
+    assert parts.rows == whole.rows
+
+
 # -- quality ----------------------------------------------------------------------------------------
 
 
