@@ -9,20 +9,29 @@ since only that part moves large inner products. With r the residual and u the v
 
 is lowered by coordinate descent over the codes and by closed-form 2 x 2 systems for the
 codewords. A query scans tables of its inner products with all codewords: the sum of one table
-entry a code is the approximate score. The best KEEP of each block are scored again on the
-original vectors in double precision, and the best of those over all blocks are the answer.
-
-The model is fitted on at most TRAIN rows, those of the smallest hashed ids; it has at most PARTS
-centres, so what is broadcast is bounded (PARTS x dimensions floats). Every row is indexed.
-Partitions of more than BLOCK rows are dealt out in blocks, so no task holds more than a block and
+entry a code is the approximate score. What may still be among a query's best is scored again on
+the original vectors in double precision:
+
+* a query's scores with those of ANCHORS rows of the sample that are in the partitions it visits
+  bound what its last answer scores from below, and so do the exact scores that a task has seen;
+* approximate scores of top rows lie below the exact ones by no more than a margin, but for one in
+  two hundred; the margin is measured on the sample;
+* so a row is scored again if its approximate score reaches the bound less the margin. No number
+  of rows is fixed: more rows raise the bound.
+
+The model is fitted on about TRAIN rows, chosen by a hash; it has at most PARTS centres, so what is
+broadcast is bounded (PARTS and ANCHORS vectors). Every row is indexed. Partitions of more rows
+than a block (BLOCK_BYTES of vectors) are dealt out in blocks, so no task holds more than a block and
 a slice of queries, whatever share of rows one partition has. A query visits partitions in the
-order of its inner product with their centres until they hold PROBE of all rows.
-
-Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null
-or non-finite components take no part, as queries or candidates; null ids take no part; equal
-scores go to the smaller id, equal vectors included (the block scan breaks its ties alike);
-repeated rows of an id are candidates each, but none of their own id's query; fewer candidates
-than asked for are all returned; no queries or an empty table give no rows.
+order of its inner product with their centres, until they hold the share of all rows that held
+REACHED of the nearest rows of the sample's own queries: little where vectors are clustered, most of
+them where they are spread evenly over the sphere, since nothing prunes there.
+
+Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components take
+no part, as queries or candidates; where lengths differ, the components that a vector lacks count as
+zero; null ids take no part; equal scores go to the smaller id; repeated rows of an id are queries
+and candidates each, and only the query's own row is left out; fewer candidates than asked for are
+all returned; no queries or an empty table give no rows.
 """
 
 from __future__ import annotations
@@ -36,9 +45,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table
 
-TRAIN, BLOCK, PARTS, SUB, CODES = 20_000, 2048, 1024, 2, 16
-ETA, PROBE, KEEP, TOP, QUERY_SLICE = 2.6, 0.88, 256, 20, 256
-ROUNDS, SWEEPS = 6, 2
+TRAIN, ANCHORS, PART, PARTS, BLOCK_BYTES, SUB, CODES = 20_000, 8192, 4096, 1024, 1 << 24, 2, 16
+ETA, REACHED, SURE, TOP, SCORES = 2.6, 0.97, 0.995, 20, 1 << 21
+ROUNDS, SWEEPS, ASKED = 6, 2, 512
 #: Candidates that a task holds before it merges them.
 FLUSH = 400_000
 
@@ -46,7 +55,7 @@ FLUSH = 400_000
 class Model:
     """Centres, scales and codebooks."""
 
-    def __init__(self, sample: np.ndarray, parts: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, parts: int, top: int = TOP, seed: int = 7):
         rng = np.random.default_rng(seed)
         x = sample.astype(np.float32)
         self.dim = x.shape[1]
@@ -65,6 +74,47 @@ class Model:
         typical = float((r * r).mean()) or 1.0
         self.scales = np.sqrt(np.where(energy > 0, energy, typical)).astype(np.float32)
         self._fit(self._pad(r / self.scales[own][:, None]), self._directions(x), rng)
+        self.anchors, self.anchor_parts = x[:ANCHORS], own[:ANCHORS]
+        self._measure(x, own, top)
+
+    def _measure(self, x: np.ndarray, own: np.ndarray, top: int) -> None:
+        """The margin of approximate scores, and the share of rows to visit, from the sample's own queries."""
+        asked = np.arange(0, len(x), max(1, len(x) // ASKED))[:ASKED]
+        q = x[asked]
+        part, codes = self.index(x)
+        codes = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(x), -1)[:, : self.subs]
+        coded = self.books[np.arange(self.subs)[None, :], codes].reshape(len(x), -1)[:, : self.dim]
+        coded = self.centres[part] + self.scales[part][:, None] * coded
+        held = np.bincount(own, minlength=len(self.centres))
+        order = self.visits(q)
+        before = np.empty(order.shape)  # the share of rows in the partitions that are visited earlier
+        np.put_along_axis(before, order, np.cumsum(held[order], axis=1) - held[order], axis=1)
+        errors, needed = [], []
+        for k in range(0, len(q), 64):
+            exact, approx = q[k : k + 64] @ x.T, q[k : k + 64] @ coded.T
+            best = np.argpartition(-exact, min(top, len(x) - 1), axis=1)[:, : top + 1]
+            gap = np.take_along_axis(exact, best, axis=1) - np.take_along_axis(approx, best, axis=1)
+            errors.append(gap / np.maximum(np.linalg.norm(q[k : k + 64], axis=1, keepdims=True), 1e-30))
+            others = best != asked[k : k + 64, None]
+            needed.append(np.take_along_axis(before[k : k + 64], part[best], axis=1)[others] / len(x))
+        self.margin = float(max(0.0, np.quantile(np.concatenate(errors), SURE))) * 1.05 + 1e-5
+        needed = np.concatenate(needed)
+        self.share = float(np.quantile(needed, REACHED)) if len(needed) else 0.0
+
+    def visits(self, q: np.ndarray) -> np.ndarray:
+        """Partitions in the order in which each query visits them."""
+        return np.argsort(-(q.astype(np.float32) @ self.centres.T), axis=1, kind="stable")
+
+    def floors(self, q: np.ndarray, visited: np.ndarray, top: int) -> np.ndarray:
+        """What each query's last answer scores at least, from the anchors in the partitions that it visits (queries, partitions).
+
+        Twice as many as are asked for score that much: the query may be an anchor itself, and codes may lose some.
+        """
+        rank = 2 * top
+        if len(self.anchors) <= rank:
+            return np.full(len(q), -np.inf)
+        scores = np.where(visited[:, self.anchor_parts], q.astype(np.float32) @ self.anchors.T, -np.inf)
+        return np.partition(scores, len(self.anchors) - rank - 1, axis=1)[:, len(self.anchors) - rank - 1].astype(np.float64)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """By Euclidean distance, in slices."""
@@ -150,51 +200,70 @@ def scan_block(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim)
+    """Rows of dim components, those that a vector lacks as zeros."""
+    flat, ends = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
+    if len(flat) == len(column) * dim:
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(column), dim), flat.dtype)
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        out[k, : b - a] = flat[a:b]
+    return out
 
 
-def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The top rows of each query among parts of (query, id, score)."""
-    q, i, s = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((i, -s, q))
-    q, i, s = q[order], i[order], s[order]
-    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
+def _best(parts: list[tuple[np.ndarray, ...]], top: int) -> tuple[np.ndarray, ...]:
+    """The top rows of each query among parts of (query's row, query's id, id, score)."""
+    row, q, i, s = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((i, -s, row))
+    row, q, i, s = row[order], q[order], i[order], s[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
     keep = rank < top
-    return [(q[keep], i[keep], s[keep])]
+    return row[keep], q[keep], i[keep], s[keep]
 
 
 def _search(batches: Iterator[pa.RecordBatch], model: Model, top: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, block, query, id, vector, code), sorted, with each block's rows before its queries, to candidates."""
-    name, ids, vectors, codes, ready = None, [], [], [], None
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def answer(q_ids: np.ndarray, q: np.ndarray) -> None:
-        nonlocal ready, held
-        if not ids:
+    """Rows (part, block, query, row, id, vector, code, floor), sorted, with each block's rows before its queries, to candidates."""
+    name, held, ready = None, [], None
+    out: list[tuple[np.ndarray, ...]] = []
+    found = 0
+    seen = np.zeros(0, np.int64), np.zeros(0)  # queries whose bound this task has raised, and the bounds
+
+    def raised(rows: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        if not len(seen[0]):
+            return floors
+        at = np.minimum(np.searchsorted(seen[0], rows), len(seen[0]) - 1)
+        return np.where(seen[0][at] == rows, np.maximum(floors, seen[1][at]), floors)
+
+    def answer(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, floors: np.ndarray) -> None:
+        nonlocal ready, found
+        if not held:
             return
         if ready is None:
-            i, v, c = np.concatenate(ids), np.concatenate(vectors), np.concatenate(codes)
-            order = np.argsort(i, kind="stable")
-            ready = i[order], v[order].astype(np.float64), c[order]
-        i, v, c = ready
-        for k in range(0, len(q), QUERY_SLICE):
-            part = q[k : k + QUERY_SLICE]
-            approx = scan_block(model.tables(part), c)
-            for j, (qid, row) in enumerate(zip(q_ids[k : k + QUERY_SLICE].tolist(), approx)):
-                keep = min(len(i), KEEP + 1)
-                least = np.partition(row, len(row) - keep)[len(row) - keep]
-                near = np.flatnonzero(row > least)
-                near = np.concatenate([near, np.flatnonzero(row == least)[: keep - len(near)]])
-                near = near[i[near] != qid]
-                score = (v[near] * part[j].astype(np.float64)).sum(axis=1)
-                best = np.lexsort((i[near], -score))[:top]
-                out.append((np.full(len(best), qid), i[near][best], score[best]))
-                held += len(best)
-
-    def record(parts) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["query_id", "vec_id", "score"])
+            ready = tuple(np.concatenate(c) for c in zip(*held))
+        row, i, v, c = ready
+        step = max(1, SCORES // len(i))
+        floors = raised(rows, floors)
+        for k in range(0, len(q), step):
+            part = q[k : k + step]
+            approx = scan_block(model.tables(part), c) * model.scales[name[0]] + (part.astype(np.float32) @ model.centres[name[0]])[:, None]
+            least = floors[k : k + step] - model.margin * np.linalg.norm(part, axis=1)
+            a, b = np.nonzero(approx >= least.astype(np.float32)[:, None])
+            score = np.concatenate([np.zeros(0), *((v[b[n : n + 65536]].astype(np.float64) * part[a[n : n + 65536]]).sum(axis=1) for n in range(0, len(a), 65536))])
+            good = (score >= floors[k : k + step][a] - 1e-4 * np.abs(floors[k : k + step][a])) & (row[b] != rows[k + a])
+            a, b, score = a[good] + k, b[good], score[good]
+            out.append((rows[a], ids[a], i[b], score))
+            found += len(a)
+
+    def merge() -> None:
+        nonlocal out, found, seen
+        best = _best(out, top)
+        out, found = [best], len(best[0])
+        rows, first, n = np.unique(best[0], return_index=True, return_counts=True)
+        full = n == top
+        seen = rows[full], best[3][first[full] + top - 1]
+
+    def record(part) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c) for c in part], names=["query_row", "query_id", "vec_id", "score"])
 
     for batch in batches:
         keys = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)], axis=1)
@@ -203,76 +272,75 @@ def _search(batches: Iterator[pa.RecordBatch], model: Model, top: int) -> Iterat
             if a == b:
                 continue
             if (keys[a, 0], keys[a, 1]) != name:
-                name, ids, vectors, codes, ready = (keys[a, 0], keys[a, 1]), [], [], [], None
+                name, held, ready = (keys[a, 0], keys[a, 1]), [], None
             part = batch.slice(a, b - a)
-            own, x = np.asarray(part.column(3)), _matrix(part.column(4), model.dim)
+            row, own, x = np.asarray(part.column(3)), np.asarray(part.column(4)), _matrix(part.column(5), model.dim)
             if keys[a, 2]:
-                answer(own, x)
+                answer(row, own, x.astype(np.float64), np.asarray(part.column(7)))
             else:
-                ids.append(own)
-                vectors.append(x)
-                codes.append(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(b - a, -1))
-        if held > FLUSH:  # a task's blocks are merged before anything is shuffled
-            out = _best(out, top)
-            held = len(out[0][0])
-            if held > FLUSH // 2:
-                yield record(out)
-                out, held = [], 0
+                held.append((row, own, x, np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(b - a, -1)))
+        if found > FLUSH:  # a task's blocks are merged before anything is shuffled
+            merge()
+            if found > FLUSH // 2:
+                yield record(out[0])
+                out, found = [], 0
     if out:
-        yield record(_best(out, top))
+        merge()
+        yield record(out[0])
 
 
 def nearest(vectors: DataFrame, is_query, top: int = TOP, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the top rows of largest inner product of every row for which is_query holds."""
     v = F.col(column)
+    kind = "float" if vectors.schema[column].dataType.elementType.simpleString() == "float" else "double"
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = vectors.filter(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(finite & F.exists(v, lambda e: e != 0))
-    rows = rows.select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    lengths = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if lengths is None:
-        return empty
-    dim, total = lengths["dim"], lengths["n"]
-    rows = rows.filter(F.size("x") == dim)
-    sample = np.array([r.x for r in rows.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(TRAIN).collect()], np.float32)
-    model = Model(sample, min(PARTS, -(-total // BLOCK)))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), v.cast(f"array<{kind}>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    dim, total = rows.agg(F.max(F.size("x")), F.count("*")).first()
+    if not total:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int(min(1.0, TRAIN / total) * (1 << 40))) if total > TRAIN else rows
+    sample = _matrix(some.select("x").toArrow().column("x").combine_chunks(), dim)[: TRAIN + TRAIN // 10]
+    model = Model(sample, min(PARTS, -(-total // PART)), top)
+    block_rows = max(PART, BLOCK_BYTES // (dim * 4))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, codes = model.index(_matrix(batch.column(1), dim))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(part.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "x", "q", "part", "code"])
+            part, codes = model.index(_matrix(batch.column(2), dim).astype(np.float32))
+            yield pa.record_batch([*batch.columns, pa.array(part.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "id", "x", "q", "part", "code"])
 
-    indexed = cut(rows.mapInArrow(index, "id bigint, x array<float>, q boolean, part int, code binary"))
+    indexed = cut(rows.mapInArrow(index, f"row bigint, id bigint, x array<{kind}>, q boolean, part int, code binary"))  # rows have their numbers from here on
     held = np.zeros(len(model.centres), np.int64)
     for r in indexed.groupBy("part").agg(F.count("*").alias("n")).collect():  # a row a centre: bounded
         held[r["part"]] = r["n"]
-    blocks = np.maximum(1, -(-held // BLOCK))
-    enough = max(PROBE * held.sum(), 4 * top)
+    blocks = np.maximum(1, -(-held // block_rows))
+    enough = max(model.share * held.sum(), 4 * top)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            order = np.argsort(-(x @ model.centres.T), axis=1, kind="stable")
-            visits = (np.cumsum(held[order], axis=1) - held[order]) < enough
-            row, part, block = [], [], []
-            for k in range(len(x)):
-                for p in order[k][visits[k] & (held[order[k]] > 0)].tolist():
-                    for b in range(blocks[p]):
-                        row.append(k)
-                        part.append(p)
-                        block.append(b)
-            for a in range(0, len(row), 8192):
-                take = pa.array(row[a : a + 8192])
-                n = len(take)
-                yield pa.record_batch([pa.array(part[a : a + 8192], pa.int32()), pa.array(block[a : a + 8192], pa.int32()), pa.array([1] * n, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.nulls(n, pa.binary())], names=["part", "block", "query", "id", "x", "code"])
-
-    shape = "part int, block int, query int, id bigint, x array<float>, code binary"
+            x = _matrix(batch.column(2), dim)
+            order = model.visits(x)
+            early = (np.cumsum(held[order], axis=1) - held[order] <= enough) & (held[order] > 0)
+            visited = np.zeros(early.shape, bool)
+            np.put_along_axis(visited, order, early, axis=1)
+            floors = model.floors(x, visited, top)
+            at, nth = np.nonzero(early)
+            part = order[at, nth]
+            times = blocks[part]
+            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at, part = np.repeat(at, times), np.repeat(part, times)
+            for a in range(0, len(at), 8192):
+                take, n = pa.array(at[a : a + 8192]), len(at[a : a + 8192])
+                yield pa.record_batch([pa.array(part[a : a + 8192].astype(np.int32)), pa.array(block[a : a + 8192].astype(np.int32)), pa.array(np.ones(n, np.int32)), *(batch.column(c).take(take) for c in range(3)), pa.nulls(n, pa.binary()), pa.array(floors[at[a : a + 8192]])], names=["part", "block", "query", "row", "id", "x", "code", "floor"])
+
+    shape = f"part int, block int, query int, row bigint, id bigint, x array<{kind}>, code binary, floor double"
     deal = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("part") + 1)
-    data = indexed.select("part", F.pmod(F.xxhash64("id"), deal).cast("int").alias("block"), F.lit(0).alias("query"), "id", "x", "code")
-    queries = indexed.filter("q").select("id", "x").mapInArrow(probe, shape)
-    found = data.unionByName(queries).repartition("part", "block").sortWithinPartitions("part", "block", "query")
-    found = found.mapInArrow(lambda it: _search(it, model, top), "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    data = indexed.select("part", F.pmod(F.xxhash64("row"), deal).cast("int").alias("block"), F.lit(0).alias("query"), "row", "id", "x", "code", F.lit(None).cast("double").alias("floor"))
+    queries = indexed.filter("q").select("row", "id", "x").mapInArrow(probe, shape)
+    cells = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(blocks.sum()) // 4)
+    found = data.unionByName(queries).repartition(cells, "part", "block").sortWithinPartitions("part", "block", "query")
+    found = found.mapInArrow(lambda it: _search(it, model, top), "query_row bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
