@@ -4,7 +4,9 @@ Spark has no function for the places of all matches, so a text is cut by the pat
 between matches and the matches themselves give every place as a running sum of lengths. A cheap
 test of the whole text comes first, so that the patterns run only where they can match. Patterns
 are written without backtracking into what they have taken (possessive), and start only where a
-run starts, so their time is linear in the text.
+run starts, so their time is linear in the text. So is what follows, but for a logarithm: running
+sums double their reach from pass to pass, parts of a text are taken from blocks of it, and no
+array grows by one item at a time.
 
 The base kinds are email, ip (parts up to 255), card (13 to 19 digits, Luhn) and phone (9 to 15
 digits). The method adds iban and national ids of the form 3-2-4 digits, which have no checksum and
@@ -39,7 +41,7 @@ IBAN_LENGTHS = {
     **dict.fromkeys(("BR", "EG", "PS", "QA", "UA"), 29), **dict.fromkeys(("JO", "KW", "MU", "YE"), 30), **dict.fromkeys(("MT", "SC"), 31), "LC": 32, "RU": 33,
 }
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CONTEXT, LEAST_SCORE = 48, 0.5
+CONTEXT, LEAST_SCORE, BLOCK = 48, 0.5, 1024
 
 
 def _digits(m: Column) -> Column:
@@ -81,12 +83,45 @@ def _iban_end(head: Column, tail: Column) -> Column:
     return let(F.struct(h.alias("h"), size.alias("size")), of)
 
 
+def _running(values: Column, combine) -> Column:
+    """Running totals of an array of ints: each pass reaches twice as far back."""
+
+    def doubled(a: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(a, lambda x, i: F.when(i >= back, combine(x, F.get(a, i - back))).otherwise(x))
+
+    passes = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), passes - 1), values, doubled)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The text of the blocks from place a to before place b."""
+    first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+    head, tail = F.get(blocks, first), F.coalesce(F.get(blocks, last), F.lit(""))
+    inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.substr(head, a % BLOCK + 1), inner, F.substr(tail, F.lit(1), b % BLOCK))
+    return F.when(a >= b, F.lit("")).when(first == last, F.substr(head, a % BLOCK + 1, b - a)).otherwise(across)
+
+
+_PLACES = "array<struct<start:int,end:int,k:int>>"
+
+
 def _ibans(places: Column, heads: Column, tails: Column) -> Column:
     """places of heads to those of the numbers that begin there, without any that begin inside an earlier one."""
     long = F.transform(places, lambda p: F.struct(p["start"].alias("start"), (p["end"] + _iban_end(F.element_at(heads, p["k"]), F.element_at(tails, p["k"]))).alias("end"), p["k"].alias("k")))
     found = F.filter(long, lambda p: p["end"] - p["start"] > 4)
-    none = F.array().cast("array<struct<start:int,end:int,k:int>>")
-    return F.aggregate(found, none, lambda out, p: F.when((F.size(out) == 0) | (p["start"] >= F.try_element_at(out, F.lit(-1))["end"]), F.concat(out, F.array(p))).otherwise(out))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("done"), F.array().cast(_PLACES).alias("now"))
+
+    def add(s: Column, p: Column) -> Column:  # what is taken is gathered by the hundred, so that no long array is copied for one item
+        more = F.struct(p["end"].alias("at"), s["done"].alias("done"), F.concat(s["now"], F.array(p)).alias("now"))
+        full = F.struct(p["end"].alias("at"), F.concat(s["done"], F.array(s["now"])).alias("done"), F.array(p).alias("now"))
+        return F.when(p["start"] < s["at"], s).when(F.size(s["now"]) >= 256, full).otherwise(more)
+
+    return F.aggregate(found, zero, add, lambda s: F.flatten(F.concat(s["done"], F.array(s["now"]))))
 
 
 #: kind: pattern, test of the whole text, validator (an IBAN's is in _ibans), score without context, words that add 0.3.
@@ -104,38 +139,34 @@ _SPAN = "array<struct<kind:string,rank:int,start:int,end:int,score:double>>"
 
 def _places(pieces: Column, hits: Column) -> Column:
     """Starts and ends of the matches, from the pieces around them."""
-
-    def add(state: Column, k: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(pieces, k))
-        end = start + F.length(F.element_at(hits, k))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), k.alias("k")))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,k:int>>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(hits)), zero, add, lambda s: s["out"])
+    ends = _running(F.transform(hits, lambda h, i: (F.length(h) + F.length(F.get(pieces, i))).cast("int")), lambda x, y: x + y)
+    return let(ends, lambda e: F.transform(hits, lambda h, i: F.struct((F.get(e, i) - F.length(h)).alias("start"), F.get(e, i).alias("end"), (i + 1).alias("k"))))
 
 
 def _spans(text: Column, kind: str, rank: int) -> Column:
     pattern, gate, valid, score, words = KINDS[kind]
+    none = F.array().cast(_SPAN)
 
     def of_hits(hits: Column) -> Column:
         def of_pieces(pieces: Column) -> Column:
             if kind == "iban":
-                good = _ibans(_places(pieces, hits), hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+                good = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda tails: _ibans(_places(pieces, hits), hits, tails))
             else:
                 good = F.filter(_places(pieces, hits), lambda p: valid(F.element_at(hits, p["k"])))
 
-            def scored(p: Column) -> Column:
-                low = F.greatest(p["start"] - CONTEXT, F.lit(0))
-                near = F.lower(F.substr(text, low + 1, p["start"] - low))
-                return F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), p["start"].alias("start"), p["end"].alias("end"), (F.lit(score) + F.when(near.rlike(words), 0.3).otherwise(0.0)).alias("score"))
+            def of_blocks(places: Column, blocks: Column) -> Column:
+                def scored(p: Column) -> Column:
+                    near = F.lower(_between(blocks, F.greatest(p["start"] - CONTEXT, F.lit(0)), p["start"]))
+                    return F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), p["start"].alias("start"), p["end"].alias("end"), (F.lit(score) + F.when(near.rlike(words), 0.3).otherwise(0.0)).alias("score"))
+
+                out = F.transform(places, scored)
+                return out if kind in BASE else F.filter(out, lambda s: s["score"] >= LEAST_SCORE)
 
-            out = F.transform(good, scored)
-            return out if kind in BASE else F.filter(out, lambda s: s["score"] >= LEAST_SCORE)
+            return let(good, lambda places: F.when(F.size(places) > 0, let(_blocks(text), lambda blocks: of_blocks(places, blocks))).otherwise(none))
 
-        none = F.array().cast(_SPAN)
         return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), of_pieces)).otherwise(none)
 
-    return F.when(gate(text), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_hits)).otherwise(F.array().cast(_SPAN))
+    return F.when(gate(text), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_hits)).otherwise(none)
 
 
 def pii_spans(text: Column) -> Column:
@@ -197,24 +228,16 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; spans that overlap become one."""
     by_start = F.array_sort(F.transform(pii_spans(F.col(text)), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def merge(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        apart = (F.size(out) == 0) | (s["start"] >= F.try_element_at(out, F.lit(-1))["end"])
-        return F.when(apart, F.concat(out, F.array(s))).otherwise(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer)))
-
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    merged = F.aggregate("__spans", none, merge)
-
-    def masked(spans: Column) -> Column:
-        def part(s: Column, i: Column) -> Column:
-            before = F.when(i == 0, 0).otherwise(F.element_at(spans, F.greatest(i, F.lit(1)))["end"])
-            return F.concat(F.substr(F.col(text), before + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
 
-        tail = F.substr(F.col(text), F.element_at(spans, -1)["end"] + 1)
-        return F.concat(F.array_join(F.transform(spans, part), ""), tail)
+    def masked(spans: Column, upto: Column, blocks: Column) -> Column:
+        """upto: the furthest end of each span and those before it; a span that begins there or later is apart."""
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(upto, i - 1))
+        apart = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), before(i).alias("after"), s["kind"].alias("kind"), i.alias("i"))), lambda s: (s["i"] == 0) | (s["start"] >= s["after"]))
+        parts = F.transform(apart, lambda s: F.concat(_between(blocks, s["after"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _between(blocks, F.element_at(upto, -1), F.length(F.col(text))))
 
-    new = F.when(F.size("__spans") > 0, let(merged, masked)).otherwise(F.col(text))
+    furthest = _running(F.transform("__spans", lambda s: s["end"]), F.greatest)
+    new = F.when(F.size("__spans") > 0, let(furthest, lambda upto: let(_blocks(F.col(text)), lambda blocks: masked(F.col("__spans"), upto, blocks)))).otherwise(F.col(text))
     marked = docs.withColumn("__spans", by_start)
     return marked.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
 
