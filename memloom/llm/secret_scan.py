@@ -4,11 +4,17 @@ Patterns name candidates; before one of the method's own kinds is reported, its
 and parsed: base64 or hex runs must hold a key in DER (nested lengths that fill their parents
 exactly, a version number or an algorithm's identifier first) or in the OpenSSH container (its
 magic and its length-prefixed fields), and signed tokens must have a JSON header with an algorithm
-and a JSON payload. The three base kinds are reported as their patterns and lengths say.
+and a JSON payload. A key in base64 may stand behind other characters of that alphabet, as in a path,
+and may run over lines: it begins wherever a container can begin, and its own outer length says where
+it ends. The three base kinds are reported as their patterns and lengths say.
+
+A PEM block is a BEGIN line and the next line of its kind, if that is the END of the same label. Every
+pattern passes over the text once, and a container is decoded as far as its length says, MOST_KEY
+bytes at most (longer keys than the largest in use), so the time is linear in the text.
 
 Defined cases: a null text counts as empty; an empty text has no spans; equal rows give equal
-results; a very long text is scanned whole, in time linear in its length; other columns are not
-read. Places are in code points, the end exclusive.
+results; a very long text is scanned whole; other columns are not read. Places are in code points,
+the end exclusive.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +38,11 @@ KINDS = ("assign", "access", "hex", "pem_key", "der_key", "hex_key", "jwt")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,-]{16,}?)-----END \1-----")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+_NOT_PEM = re.compile(r"[^A-Za-z0-9+/=\s:,-]")
+#: What follows the end of a line in base64 that runs over lines, and the first characters of a DER sequence and of the OpenSSH magic.
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]{4,}+)")
+_KEY_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXkt")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _HEX_CHARS, _ANY_HEX_CHARS = b"0123456789abcdef", b"0123456789abcdefABCDEF"
 _B64_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
@@ -39,6 +50,7 @@ _IS_HEX = np.isin(np.arange(256), list(_HEX_CHARS))
 _IS_ANY_HEX = np.isin(np.arange(256), list(_ANY_HEX_CHARS))
 _IS_B64 = np.isin(np.arange(256), list(_B64_CHARS))
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, B64_LEAST, HEX_KEY_LEAST = 12, 18, 16, 40, 64
+MOST_KEY = 1 << 15
 
 
 def runs(member: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -103,17 +115,32 @@ def is_der_key(b: bytes) -> bool:
     return tags in ([0x30, 0x03], [0x30, 0x04]) and algorithm(0)  # a public key, or PKCS #8 encrypted
 
 
-def is_openssh_key(b: bytes) -> bool:
-    """Whether b is an OpenSSH private key container, by magic and nested lengths."""
-    magic = b"openssh-key-v1\x00"
-    if not b.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):  # cipher, derivation, options
+_MAGIC = b"openssh-key-v1\x00"
+
+
+def _openssh_end(b: bytes) -> int | None:
+    """Where the container that b begins with ends, by its magic and nested lengths: options, public and private keys."""
+    at = len(_MAGIC)
+    if not b.startswith(_MAGIC):
+        return None
+    for k in range(3):  # cipher, derivation, options
         if at + 4 > len(b):
-            return False
+            return None
+        at += 4 + int.from_bytes(b[at : at + 4])
+    n = int.from_bytes(b[at : at + 4])
+    if at + 4 > len(b) or not 1 <= n <= 64:
+        return None
+    at += 4
+    for _ in range(n + 1):
+        if at + 4 > len(b):
+            return None
         at += 4 + int.from_bytes(b[at : at + 4])
-    return at + 4 <= len(b) and 1 <= int.from_bytes(b[at : at + 4]) <= 64
+    return at if at <= len(b) else None
+
+
+def is_openssh_key(b: bytes) -> bool:
+    """Whether b begins with an OpenSSH private key container."""
+    return _openssh_end(b) is not None
 
 
 def _unbase64(s: str) -> bytes | None:
@@ -140,6 +167,74 @@ def is_signed_token(header: str, payload: str) -> bool:
     return bool(found) and isinstance(found.get("alg"), str) and _json_object(payload) is not None
 
 
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """Places of the blocks between a BEGIN line and the END of its label right after it that hold a key."""
+    out, last = [], None
+    for m in _PEM.finditer(text):
+        if m[1] == "END" and last and last[2] == m[2]:
+            body = text[last.end() : m.start()]
+            if len(body) >= 16 and not _NOT_PEM.search(body):
+                raw = _unbase64("".join(x for x in body.split() if ":" not in x and "," not in x))
+                if raw and _is_key(raw):
+                    out.append((last.start(), m.end()))
+        last = m if m[1] == "BEGIN" else None
+    return out
+
+
+def base64_keys(text: str, long: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of the keys that begin in the long runs of base64; lines that follow a run belong to it."""
+    out, done = [], 0
+    for start, end in long:
+        if start < done:
+            continue
+        lines = [(start, end)]
+        while m := _NEXT_LINE.match(text, lines[-1][1]):
+            lines.append(m.span(1))
+        done = lines[-1][1]
+        s = "".join(text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+        ends = np.cumsum([b - a for a, b in lines])
+
+        def place(k: int, lines=lines, ends=ends) -> int:
+            """Of the character k of s in the text."""
+            line = int(np.searchsorted(ends, k, "right"))
+            return lines[line][1] - int(ends[line]) + k
+
+        at = 0
+        while m := _KEY_START.search(s, at):
+            n = _key_chars(s, m.start())
+            if n:
+                out.append((place(m.start()), place(m.start() + n - 1) + 1))
+            at = m.start() + (n or 1)
+    return out
+
+
+def _key_chars(s: str, at: int) -> int:
+    """Characters of the base64 key that s holds at a place; 0 if it holds none there."""
+    if s[at] == "b":
+        part = s[at : at + MOST_KEY * 4 // 3]
+        raw = base64.b64decode(part[: len(part) // 4 * 4]) + _tail(part)
+        size = _openssh_end(raw)
+        return -(-size * 8 // 6) if size else 0
+    head = base64.b64decode(s[at : at + 8]) if at + 8 <= len(s) else b""
+    if len(head) < 6 or head[1] == 0x80 or head[1] > 0x84:
+        return 0
+    size = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] - 128) + int.from_bytes(head[2 : 2 + head[1] - 128])
+    n = -(-size * 8 // 6)
+    if not B64_LEAST * 6 // 8 <= size <= MOST_KEY or at + n > len(s):
+        return 0
+    first = head[2 + max(0, head[1] - 128)] if 2 + max(0, head[1] - 128) < len(head) else None
+    if first not in (None, 0x02, 0x30):  # a version or an algorithm comes first
+        return 0
+    raw = _unbase64(s[at : at + n])
+    return n if raw and is_der_key(raw) else 0
+
+
+def _tail(part: str) -> bytes:
+    """The whole bytes of what a multiple of four characters leaves over."""
+    left = part[len(part) // 4 * 4 :]
+    return base64.b64decode(left + "=" * (4 - len(left))) if len(left) > 1 else b""
+
+
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """(kind's number, start, end), by start and then kind."""
     text = text or ""
@@ -154,14 +249,14 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
         out.append((2, a, b))
     found = {(a, b) for member in (_IS_HEX, _IS_ANY_HEX) for a, b in runs(member[chars], HEX_KEY_LEAST)}
     out += [(5, a, b) for a, b in found if (b - a) % 2 == 0 and _is_key(bytes.fromhex(text[a:b]))]
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            raw = _unbase64("".join(x for x in m[2].split() if ":" not in x and "," not in x))
-            if raw and _is_key(raw):
-                out.append((3, m.start(), m.end()))
-    for a, b in runs(_IS_B64[chars], B64_LEAST):
-        if (raw := _unbase64(text[a:b])) and _is_key(raw):
-            out.append((4, a, b))
+    blocks = pem_blocks(text) if "-----BEGIN " in text else []
+    out += [(3, a, b) for a, b in blocks]
+    if long := runs(_IS_B64[chars], B64_LEAST):
+        begins = [a for a, _ in blocks]
+        for a, b in base64_keys(text, long):
+            k = bisect_right(begins, a) - 1
+            if k < 0 or a >= blocks[k][1]:  # a block's own key is reported with it
+                out.append((4, a, b))
     if "eyJ" in text:
         out += [(6, m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
