@@ -7,19 +7,19 @@ and once backwards. Its cell has one gate: with x a byte and h the state,
 
 Both states give a distribution over languages at every position, and a document's probability is
 the mean over all positions of all its windows. It is trained here, in numpy, by backpropagation
-through time with the position-wise cross-entropy, on at most SAMPLE documents a language and
-WINDOWS windows of each, chosen by a hash of the id; the training set is everything that is not
-held out and has a language. Whole texts are predicted, every byte, without moving them.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is everything if
-no row has a language; every language of the training set is learned, and more than MOST of them are an
-error; a null id is neither held out nor learned from; equal texts get equal predictions; an empty table gives no rows; other
-columns are not read.
+through time with the position-wise cross-entropy, on the whole texts of at most SAMPLE documents a
+language (fewer if there are more than ROWS / SAMPLE languages), chosen by a hash of the id; the
+training set is everything that is not held out and has a language. Whole texts are predicted, every
+byte, without moving them.
+
+A letter is a character of Unicode's class L, in training and prediction alike. Defined cases: a null
+text, or one without a letter, is ``und`` with score 0; so is everything if no row has a language;
+every language of the training set is learned; a null id is neither held out nor learned from; equal
+texts get equal predictions; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-SPAN, HIDDEN, SAMPLE, WINDOWS, TRAIN_SPAN, MOST = 256, 16, 400, 2, 96, 512
-EPOCHS, BATCH, RATE, SEED = 8, 96, 0.02, 11
+SPAN, HIDDEN, SAMPLE, ROWS, TRAIN_SPAN = 256, 16, 200, 12_800, 96
+EPOCHS, BATCH, RATE, SEED = 2, 96, 0.02, 11
 #: Windows that go through the network at once with up to WIDE_LANGUAGES languages; with more, fewer.
 WIDE, WIDE_LANGUAGES = 2048, 64
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class ByteNetwork:
@@ -164,39 +163,38 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def has_letter(text: Column) -> Column:
+    return text.rlike(r"\p{L}")
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteNetwork | None:
     """A network fitted on a bounded sample of the rows that are not held out."""
-    rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).filter(~held_out(F.col(key)))
-    counts = rows.groupBy(lang).agg(F.count("*").alias("n")).limit(MOST + 1).collect()
+    rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & has_letter(F.col(text))).filter(~held_out(F.col(key)))
+    counts = {r[0]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    if len(counts) > MOST:
-        raise ValueError(f"{lang} has more than {MOST} values to learn")
-    languages = sorted(r[0] for r in counts)
-    every = {r[0]: max(1, r["n"] // (SAMPLE * 3 // 2)) for r in counts}
+    languages = sorted(counts)
+    most = max(1, min(SAMPLE, ROWS // len(languages)))
+    every = {x: max(1, n // (most * 3 // 2 + 1)) for x, n in counts.items()}
     pick = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    step = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in every.items() for x in pair]), F.col(lang)), F.lit(0))
-    room = F.greatest(F.length(text) - TRAIN_SPAN, F.lit(1))
-    parts = [F.substr(F.col(text), (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(k)), room) + 1).cast("int"), F.lit(TRAIN_SPAN)).alias(f"w{k}") for k in range(WINDOWS)]
-    chosen = rows.filter((step > 0) & (F.pmod(pick, F.greatest(step, F.lit(1))) == 0)).select(F.col(lang).alias("lang"), pick.alias("pick"), *parts)
-    found = chosen.orderBy("pick").limit(4 * SAMPLE * len(languages)).collect()
+    step = F.element_at(F.create_map(*[F.lit(x) for pair in every.items() for x in pair]), F.col(lang))
+    chosen = rows.filter(F.pmod(pick, step) == 0).select(F.col(lang).alias("lang"), pick.alias("pick"), F.col(text).alias("text"))
     texts, y, seen = [], [], dict.fromkeys(languages, 0)
-    for r in found:
-        if seen[r["lang"]] < SAMPLE:
+    for r in chosen.orderBy("pick", "text").toLocalIterator():
+        if seen[r["lang"]] < most:
             seen[r["lang"]] += 1
-            for k in range(WINDOWS):
-                if r[f"w{k}"]:
-                    texts.append(raw_bytes(r[f"w{k}"])[:TRAIN_SPAN])
-                    y.append(languages.index(r["lang"]))
+            texts.append(raw_bytes(r["text"]))
+            y.append(languages.index(r["lang"]))
     net = ByteNetwork(languages)
-    x, lengths, _ = windows(texts, TRAIN_SPAN)
-    net.fit(np.ascontiguousarray(x.T), np.array(y), lengths)
+    x, lengths, of = windows(texts, TRAIN_SPAN)
+    net.fit(np.ascontiguousarray(x.T), np.array(y)[of], lengths)
     return net
 
 
 def predict(texts: list[str | None], net: ByteNetwork | None) -> list[tuple[str, float]]:
+    """The language and its probability of each text that has a letter; null stands for those without."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    at = [k for k, t in enumerate(texts) if net and t and _LETTER.search(t)]
+    at = [k for k, t in enumerate(texts) if net and t]
     if not at:
         return out
     x, lengths, of = windows([raw_bytes(texts[k]) for k in at], SPAN)
@@ -227,7 +225,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text: str = "text", key:
                     start, size = k, 0
             yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[key, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(key, F.when(has_letter(F.col(text)), F.col(text))).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
