@@ -7,18 +7,18 @@ and source says where the bulk of its vectors lies:
 
 * two deterministic starts: medians with absolute deviations, and plain mean with covariance;
 * concentration steps: distances under the current estimate, then mean and covariance of the
-  nearest three quarters. One step is one pass: vectors are aggregated by group and distance bin
-  (sums of integers, so the result does not depend on the order of rows), and a running count over
-  the bins, of which there are at most BINS a group, says which bins make up the subset;
+  nearest three quarters, until no determinant changes any more (STEPS at most). One step is one
+  pass: vectors are aggregated by group and distance bin (sums of integers, so the result does not
+  depend on the order of rows), and a running count over the bins, 32 to a doubling of the squared
+  distance, says which bins make up the subset: three quarters, and what is left of the last bin;
 * the start with the smaller determinant wins, is scaled to a chi-squared median, reweighted once,
   and a row is rejected where its squared Mahalanobis distance passes CUT.
 
 Covariances get a floor for each value, so a group in which nothing ever repeats does not reject
 the first text that does. Distances come from a Cholesky factor written as column expressions.
 Groups under LEAST rows are judged by the estimate of their whole language, and languages under
-LEAST rows by that of all rows; only a table of under LEAST rows that pass the base has no estimate,
-and keeps what the base keeps. The tables of estimates have a row a group; whether they are
-broadcast is left to their size.
+LEAST rows by that of all rows that pass the base, however few. The tables of estimates have a row a
+group; whether they are broadcast is left to their size.
 
 Defined cases: a null or empty text has no words and fails the base; null languages and sources
 are groups of their own; equal rows get equal verdicts; an empty table gives no rows; other
@@ -36,7 +36,7 @@ REPEAT_WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Values of the vector: name, and the least standard deviation that a group is given, in thousandths.
 VALUES = (("word_length", 60), ("symbols", 60), ("capitals", 60), ("repeats", 150), ("dup_lines", 200))
 DIMS = len(VALUES)
-LEAST, STEPS, BINS, SUBSET = 50, 5, 256, 0.75
+LEAST, STEPS, SETTLED, BINS, PER_DOUBLING, SUBSET = 50, 20, 1e-3, 1280, 32, 0.75
 #: Quantiles of chi-squared with five degrees of freedom: of one half, of 0.975 and of 0.9999.
 CHI_HALF, CHI_REWEIGHT, CUT = 4.351, 12.833, 25.745
 
@@ -56,8 +56,11 @@ def _repeat_words(words: Column) -> Column:
         return F.when(some, let(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_sorted)).otherwise(F.lit(0))
 
     n = F.size(words) - (k - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, k)))
-    return F.when(n > 1, let(hashes, of_hashes)).otherwise(F.lit(0))
+
+    def of_windows(h: Column) -> Column:  # of the words' hashes: no window is copied
+        return let(F.transform(F.slice(h, F.lit(1), n), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])), of_hashes)
+
+    return F.when(n > 1, let(F.transform(words, lambda w: F.xxhash64(w)), of_windows)).otherwise(F.lit(0))
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -139,12 +142,12 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def _bin() -> Column:
-    return F.least(F.lit(BINS - 1), F.floor(F.log2(F.col("d2") + 1) * 16)).cast("int")
+    return F.least(F.lit(BINS - 1), F.floor(F.log2(F.col("d2") + 1) * PER_DOUBLING)).cast("int")
 
 
 def _edge(b: Column) -> Column:
     """The middle of a bin of squared distances."""
-    return F.pow(F.lit(2.0), (b + 0.5) / 16) - 1
+    return F.pow(F.lit(2.0), (b + 0.5) / PER_DOUBLING) - 1
 
 
 def _key(level: str, *parts: Column) -> Column:
@@ -162,7 +165,7 @@ def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(total)  # total is one row
     own, whole, every = _key("s", F.col("lang"), F.col("source")), _key("l", F.col("lang")), _key("a")
     g = F.when(F.col("n") >= LEAST, own).when(F.col("of_lang") >= LEAST, whole).otherwise(every)
-    asked = (F.col("least") < LEAST) & (F.col("of_lang") >= LEAST), (F.col("least_lang") < LEAST) & (F.col("of_all") >= LEAST)
+    asked = (F.col("least") < LEAST) & (F.col("of_lang") >= LEAST), F.col("least_lang") < LEAST
     parts = F.array_compact(F.array(F.when(F.col("n") >= LEAST, own), F.when(asked[0], whole), F.when(asked[1], every)))
     table = cut(named.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), g.alias("g"), parts.alias("parts")))
     return with_group(rows, table.drop("g")).withColumn("g", F.explode("parts")).drop("parts"), table.drop("parts")
@@ -213,8 +216,12 @@ def estimate(rows: DataFrame) -> DataFrame:
         near = run.filter(F.col("before") < F.col("all") * SUBSET)
         sums = near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in _SUMS])
         new = cut(_estimate(sums, ["g", "start"]))
+        was = at.select("g", "start", F.col("det").alias("was"))
+        moved = new.join(was, ["g", "start"]).agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
         drop_cut(at)
         at = new
+        if not moved or moved <= SETTLED:
+            break
     best = at.groupBy("g").agg(F.min(F.struct("det", "start")).alias("best")).select("g", F.col("best.start").alias("start"))
     at = cut(at.join(best, ["g", "start"]).drop("start"))
     scaled = _with_scale(rows, at)
@@ -263,8 +270,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs without the rows that the rules reject. Texts are read twice and moved never."""
-    table, at = _model(cut(_statistics_table(docs, [], text, lang, source)))
-    again = _statistics_table(docs, [F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("__doc")], text, lang, source)
-    kept = _judged(again, table, at).filter("kept")
+    """docs without the rows that the rules reject.
+
+    Rows are written once with their statistics, which cost far more than the copy; fitting reads the statistics only.
+    """
+    stats = cut(_statistics_table(docs, [F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("__doc")], text, lang, source))
+    kept = _judged(stats, *_model(stats)).filter("kept")
     return kept.select(*[F.col(f"__doc.c{k}").alias(c) for k, c in enumerate(docs.columns)])
