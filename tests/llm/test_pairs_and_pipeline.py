@@ -4,6 +4,8 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -149,30 +151,51 @@ def test_nearest_recall_and_ties(spark, sf):
     assert len(rows) == (ids % 20 == 0).sum() and hit / (20 * len(rows)) >= 0.9
 
 
-def test_nearest_recall_of_many_partitions(spark, sf, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 32)
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = e.select("vec_id", "embedding").orderBy("vec_id").collect()
-    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+def vectors(kind, n, dim):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, dim))
+    if kind == "clustered":
+        x = 0.5 * x + rng.normal(size=(60, dim))[rng.integers(0, 60, n)]
+    return (x * rng.uniform(0.5, 1.5, (n, 1))).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_nearest_recall_over_many_blocks(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1024 * 32 * 4)  # partitions of about 4,096 rows in blocks of no more
+    x = vectors(kind, 24_000, 32)
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "e.parquet", row_group_size=3000)
     got = collections.defaultdict(set)
-    for r in ann.op3_ann(spark, sf).collect():
+    for r in ann.nearest(spark.read.parquet(str(tmp_path / "e.parquet")), F.col("vec_id") % 100 == 0).collect():
         got[r.query_id].add(r.vec_id)
-    best = {}
-    for q in got:
-        s = x @ x[ids == q][0]
-        s[ids == q] = -np.inf
-        best[q] = set(ids[np.lexsort((ids, -s))[:20]])
-    assert 0.9 <= sum(len(best[q] & got[q]) for q in got) / (20 * len(got)) < 1  # some rows are skipped
+    hit = 0
+    for q in range(0, len(x), 100):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.lexsort((np.arange(len(x)), -s))[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hit / (20 * len(got)) >= 0.93 and len(got) == 240
+    model = ann.Model(x[:8000], 6)
+    assert 0 < model.share < (0.98 if kind == "even" else 0.7)
 
 
 def test_nearest_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (20, [1.0, 0.0]), (7, [2.0]), (None, [1.0, 1.0]), (40, [0.0, 1.0]), (8, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("part", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("part", F.lit(1)).withColumn("row", F.lit(2))
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(20, 1, 1), (20, 2, 2), (20, 3, 40), (40, 1, 1), (40, 2, 2), (40, 3, 20)]
+    assert got == [(20, 1, 7), (20, 2, 1), (20, 3, 2), (20, 4, 40), (40, 1, 1), (40, 2, 2), (40, 3, 7), (40, 4, 20)]
     assert not ann.nearest(df.limit(0), F.lit(True)).count()
 
 
+def test_nearest_repeated_ids_and_doubles(spark):
+    tiny = 1 + 2.0**-40  # lost in single precision
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [tiny, 0.5])]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got[r["rank"]].append((r.query_id, r.vec_id, r.score))
+    assert {k: len(v) for k, v in got.items()} == {1: 2, 2: 2, 3: 2}  # two queries, each row of an id but the query's own
+    assert sorted(got[1]) == [(20, 1, 0.5), (20, 2, tiny)] and sorted(got[3]) == [(20, 20, 0.0), (20, 20, 0.0)]
+
+
 def test_anisotropic_loss_falls_with_directions():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16)).astype(np.float32)
