@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: Ordering keys that one task numbers at once.
 SPAN = 1 << 20
 
@@ -30,7 +32,7 @@ def global_index(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
     counts of those before it. The ranges are written once, so that both uses see the same ones.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    placed = written(placed)
     part = F.shiftright("__m", 33)
     counts = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     offsets = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row a range

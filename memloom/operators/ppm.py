@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 MAX_ORDER, ESCAPE = 3, 0.3
 
 
@@ -65,11 +67,11 @@ def prune(nodes: DataFrame, most: int, share: float = 0.9) -> DataFrame:
         parents = nodes.filter("depth >= 2").select(F.slice("path", F.lit(1), F.col("depth") - 1).alias("path")).distinct()
         leaves = nodes.join(parents, "path", "left_anti")
         gone = leaves.orderBy("count", "first_seq", "path").limit(n - target).select("path")
-        gone = gone.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else gone.persist()
+        gone = written(gone)
         k = gone.count()
         if not k:
             break
-        nodes, n = nodes.join(gone, "path", "left_anti"), n - k
+        nodes, n = written(nodes.join(gone, "path", "left_anti")), n - k
     return nodes
 
 
