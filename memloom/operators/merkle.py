@@ -7,12 +7,14 @@ folded inside its row, and its root is a leaf of the next table. No group holds
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import ZERO_HASH
+from .storage import written
 
 LEVELS = 8
 
@@ -91,11 +93,13 @@ def roots(leaves: DataFrame, tree: str, zero_pad: bool = True) -> DataFrame:
     return level.join(sizes, tree).select(tree, "leaves", F.col("hash").alias("root"))
 
 
-def audit_paths(leaves: DataFrame, tree: str, zero_pad: bool = True) -> DataFrame:
-    """(tree, idx, hash, path): the siblings of each leaf from below upwards."""
+def audit_paths(leaves: DataFrame, tree: str, zero_pad: bool = True, wanted: DataFrame | None = None) -> DataFrame:
+    """(tree, idx, hash, path): the siblings of each leaf, or of those of wanted (tree, idx), from below upwards."""
     table = nodes(leaves, tree, zero_pad=zero_pad)
     zeros = _zero_roots(_levels(leaves.agg(F.max("idx") + 1).first()[0] or 0))
     heights = leaves.groupBy(tree).agg(F.ceil(F.log2((F.max("idx") + 1).cast("double"))).cast("int").alias("height"))
+    if wanted is not None:
+        leaves = leaves.join(wanted.select(tree, "idx").distinct(), [tree, "idx"], "left_semi")
     wanted = leaves.select(tree, "idx", "hash").join(heights, tree).filter("height > 0").select(tree, "idx", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("level"))
     own = F.expr("shiftright(idx, level)")
     wanted = wanted.withColumn("own", own.cast("long")).withColumn("pos", F.col("own").bitwiseXOR(F.lit(1).cast("long")))
@@ -108,6 +112,37 @@ def audit_paths(leaves: DataFrame, tree: str, zero_pad: bool = True) -> DataFram
     return leaves.select(tree, "idx", "hash").join(paths, [tree, "idx"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
+def update_nodes(table: DataFrame, changes: DataFrame, tree: str) -> DataFrame:
+    """The nodes of zero-padded trees after changes (tree, idx, hash) of leaves, old or appended: those above a change anew, all others as they are.
+
+    A level's work is the nodes above the changes, not the level. A tree that outgrows its height gets levels on
+    top: its old root, and the roots of trees of zeros, are the first nodes of the new ones.
+    """
+    tops = table.groupBy(tree).agg(F.max("level").alias("top"))
+    most = changes.groupBy(tree).agg(F.max("idx").alias("last"))
+    sized = tops.join(most, tree, "full").withColumn("new_top", F.greatest(F.coalesce("top", F.lit(0)), F.ceil(F.log2((F.col("last") + 1).cast("double"))).cast("int")))
+    sized = written(sized.select(tree, "top", F.coalesce("new_top", "top").alias("new_top")))
+    height = sized.agg(F.max("new_top")).first()[0] or 0
+    zeros = _zero_roots(height + 1)
+    dirty = written(changes.select(tree, F.lit(0).alias("level"), F.col("idx").cast("long").alias("pos"), "hash"))
+    grown = sized.filter("new_top > top").select(tree, "top")
+    parts = [dirty]
+    for up in range(1, height + 1):
+        # what changed below, and the old root where a tree gets its first level on top of it
+        seeds = table.join(grown.filter(F.col("top") == up - 1), tree).filter((F.col("level") == up - 1) & (F.col("pos") == 0)).select(tree, "level", "pos", "hash")
+        below = dirty.unionByName(seeds.join(dirty.select(tree, "pos"), [tree, "pos"], "left_anti"))
+        wanted = below.join(sized.select(tree, "new_top"), tree).filter(F.col("new_top") >= up).select(tree, F.shiftright("pos", 1).alias("p")).distinct()
+        children = wanted.select(tree, "p", F.explode(F.array(F.col("p") * 2, F.col("p") * 2 + 1)).alias("pos"))
+        old = table.filter(F.col("level") == up - 1).select(tree, "pos", F.col("hash").alias("old"))
+        known = children.join(below.select(tree, "pos", "hash"), [tree, "pos"], "left").join(old, [tree, "pos"], "left")
+        h = F.coalesce("hash", "old", F.lit(zeros[up - 1]))
+        left, right = (F.max(F.when(F.col("pos") % 2 == side, h)) for side in (0, 1))
+        dirty = written(known.groupBy(tree, "p").agg(left.alias("l"), right.alias("r")).select(tree, F.lit(up).alias("level"), F.col("p").alias("pos"), node_hash(F.col("l"), F.col("r")).alias("hash")))
+        parts.append(dirty)
+    new = reduce(DataFrame.unionByName, parts)
+    return table.join(new.select(tree, "level", "pos"), [tree, "level", "pos"], "left_anti").select(tree, "level", "pos", "hash").unionByName(new)
+
+
 def root_of_path(leaf: Column, idx: Column, path: Column) -> Column:
     """The root that a leaf and its path give."""
 
