@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.atoms import atom_type
+from ..functions.atoms import TYPES, atom_type
 from ..functions.hashing import atom_hash, jump_shard
 from .ordinal import dense_index
 
@@ -88,6 +88,32 @@ def batch_access(requests: DataFrame, atoms: DataFrame, leaf_counts: DataFrame,
     return out.select("pos", "atom", "shard", "idx", "hash", "error", F.when(F.col("error").isNull(), F.col("predicted")).alias("predicted"))
 
 
+def inspect(atoms: DataFrame, leaf_counts: DataFrame, edges: DataFrame) -> DataFrame:
+    """atoms with committed and each outgoing transition (to_atom, weight, updated_ms) to a known atom; one row, of nulls, where there is none."""
+    known = edges.join(atoms.select(F.col("atom").alias("to_atom")), "to_atom", "left_semi").select(F.col("from_atom").alias("atom"), "to_atom", "weight", "updated_ms")
+    placed = atoms.join(leaf_counts, "shard", "left").withColumn("committed", F.col("idx") < F.coalesce("leaves", F.lit(0))).drop("leaves")
+    return placed.join(known, "atom", "left")
+
+
+def type_fallback(asked: DataFrame, atoms: DataFrame, edges: DataFrame, policy: dict[str, list[str]]) -> DataFrame:
+    """asked (atom, shard, atom_type) with predicted: the best atom, in the same shard, of the first type that the policy lets it go to and that has one.
+
+    Best is the largest incoming weight, the first of equals; no policy, no prediction. Types the policy does not list may go anywhere.
+    """
+    if not policy:
+        return asked.select("atom", "shard", F.lit(None).cast("string").alias("predicted"))
+    score = edges.groupBy(F.col("to_atom").alias("atom")).agg(F.sum("weight").alias("score"))
+    live = atoms.filter("status = 'active'").join(score, "atom", "left").fillna({"score": 0})
+    best = live.groupBy("shard", F.col("atom_type").alias("to_type")).agg(F.max_by("atom", F.struct("score", -F.col("idx"))).alias("best"))
+    targets = F.array(*[F.lit(t) for t in TYPES])
+    for kind, allowed in policy.items():
+        some = F.array(*[F.lit(t) for t in TYPES if t in allowed]).cast("array<string>")
+        targets = F.when(F.col("atom_type") == kind, some).otherwise(targets)
+    to = asked.select("atom", "shard", F.posexplode_outer(targets).alias("order", "to_type"))
+    found = to.join(best, ["shard", "to_type"], "left").groupBy("atom", "shard").agg(F.min_by("best", F.when(F.col("best").isNotNull(), F.col("order"))).alias("predicted"))
+    return found.select("atom", "shard", "predicted")
+
+
 def health(atoms: DataFrame, leaf_counts: DataFrame) -> DataFrame:
     """A row a shard: active, tombstoned and pending atoms."""
     joined = atoms.join(leaf_counts, "shard", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,4 +96,33 @@ def exposition(rows: DataFrame, name: str, labels: list[str], value: str) -> Dat
     for k, label in enumerate(labels):
         escaped = F.replace(F.replace(F.col(label).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         parts += [F.lit(("," if k else "") + label + '="'), escaped, F.lit('"')]
-    return rows.select(F.concat(F.lit(name + "{"), *parts, F.lit("} "), F.col(value).cast("string")).alias("line"))
+    named = F.concat(F.lit(name + "{"), *parts, F.lit("} ")) if labels else F.lit(name + " ")
+    return rows.select(F.concat(named, F.col(value).cast("string")).alias("line"))
+
+
+def engine_metrics(log: DataFrame, edges: DataFrame, atoms: DataFrame, health: DataFrame) -> DataFrame:
+    """Lines of metrics that a log of mutations, its graph, its atoms and its shards' health hold."""
+    typed = edges.select(F.regexp_extract("from_atom", r"^v1\.([a-z]+)\.", 1).alias("from_type"), F.regexp_extract("to_atom", r"^v1\.([a-z]+)\.", 1).alias("to_type"), "from_atom", "weight")
+    by_atom = typed.groupBy(F.col("from_atom").alias("atom")).agg(F.count("*").alias("n"), F.round(F.max("weight") / F.sum("weight"), 6).alias("dominance"))
+    sequences = log.filter("op = 'TRAIN'").groupBy("seq_id").agg(F.count("*").alias("n"))
+    shards = health.select(F.col("shard").cast("string").alias("shard"), "active", "tombstoned", "pending")
+    whole = log.agg(*[F.coalesce(F.sum((F.col("op") == op).cast("long")), F.lit(0)).alias(op) for op in ("ACCESS", "ADD", "TOMBSTONE", "COMMIT")])
+    graph = edges.agg(F.count("*").alias("edges"), F.countDistinct("from_atom").alias("trained"))
+    parts = [
+        exposition(whole, "access_total", [], "ACCESS"),
+        exposition(whole, "atoms_added_total", [], "ADD"),
+        exposition(whole, "atoms_removed_total", [], "TOMBSTONE"),
+        exposition(whole, "commits_total", [], "COMMIT"),
+        exposition(sequences.agg(F.count("*").alias("n")), "train_total", [], "n"),
+        exposition(sequences.groupBy(F.col("n").alias("length")).agg(F.count("*").alias("c")), "train_sequence_length", ["length"], "c"),
+        exposition(by_atom, "atom_dominance_ratio", ["atom"], "dominance"),
+        exposition(by_atom, "atom_trained_edges", ["atom"], "n"),
+        exposition(graph, "cluster_total_edges", [], "edges"),
+        exposition(graph, "cluster_trained_atoms", [], "trained"),
+        exposition(shards, "shard_active_atoms", ["shard"], "active"),
+        exposition(shards, "shard_tombstoned_atoms", ["shard"], "tombstoned"),
+        exposition(shards, "pending_writes_count", ["shard"], "pending"),
+        exposition(typed.groupBy("from_type", "to_type").agg(F.sum("weight").alias("n")), "transition_by_type_total", ["from_type", "to_type"], "n"),
+        exposition(atoms.filter("status = 'active'").groupBy("atom_type").agg(F.count("*").alias("n")), "atoms_by_type", ["atom_type"], "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,20 @@ def import_full(lines: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def meta_line(lines: DataFrame) -> dict | None:
+    """The header of :func:`export_full`'s lines, if they have one."""
+    row = lines.filter(F.get_json_object("line", "$.type") == "meta").first()
+    return json.loads(row["line"]) if row else None
+
+
+def bad_full_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are neither a header nor a record with an atom."""
+    kind = F.get_json_object("line", "$.type")
+    named = F.when(kind == "weight", F.get_json_object("line", "$.from")).otherwise(F.get_json_object("line", "$.atom"))
+    good = (kind == "meta") | (kind.isin("atom", "weight", "access_count") & named.isNotNull())
+    return lines.filter((F.trim("line") != "") & ~F.coalesce(good, F.lit(False)))
+
+
 def seeds(df: DataFrame) -> DataFrame:
     """Atoms of a seed table (atom), all of them or none: one that is invalid empties it."""
     bad = F.broadcast(df.agg(F.coalesce(F.bool_or(atom_type(F.col("atom")).isNull()), F.lit(True)).alias("__bad")))  # one row
