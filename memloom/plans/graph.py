@@ -96,10 +96,12 @@ def edge_stdp(spark, d):
     return E.spike_weights(_pairs(spark, d), 300_000.0)
 
 
-@query(f"WITH {EDGES} SELECT from_atom, to_atom, (sum(weight) * 2)::BIGINT AS weight FROM edges GROUP BY 1, 2")
+@query(f"""WITH {PAIRS}, a AS (SELECT from_atom, to_atom, count(*) AS w FROM pairs WHERE user_id % 3 = 0 GROUP BY ALL), b AS (SELECT from_atom, to_atom, count(*) AS w FROM pairs WHERE user_id % 3 <> 0 AND to_atom <> 'v1.event.view' GROUP BY ALL)
+SELECT coalesce(a.from_atom, b.from_atom) AS from_atom, coalesce(a.to_atom, b.to_atom) AS to_atom, (coalesce(a.w, 0) + coalesce(b.w, 0))::BIGINT AS weight FROM a FULL JOIN b ON a.from_atom = b.from_atom AND a.to_atom = b.to_atom""")
 def edge_merge(spark, d):
-    e = _edges(spark, d)
-    return E.merge(e, e)
+    """The graphs of two groups of users; one of them has no edges to views."""
+    pairs = _pairs(spark, d)
+    return E.merge(E.edge_weights(pairs.filter("user_id % 3 = 0")), E.edge_weights(pairs.filter("user_id % 3 <> 0 and to_atom <> 'v1.event.view'")))
 
 
 _POLICY = {"event": ["state", "fact"], "state": ["procedure"], "fact": []}

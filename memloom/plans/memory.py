@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import atoms as A
 from ..functions import hashing as H
 from ..functions import retention as R
+from ..operators import blocks as K
+from ..operators import edges as E
 from ..operators import log as L
+from ..operators import merkle as M
 from ..operators import retrieval as T
+from ..operators.ordinal import dense_index
 from ..sources import ndjson as N
 from .registry import DAY, EV, NOW, events, query, table
 
@@ -72,10 +76,24 @@ def fact_conflicts(spark, d):
     return T.conflicts(claims).select("key", F.array_join("claims", ",").alias("claims"), F.size("atoms").cast("long").alias("entries"), F.element_at("atoms", 1).alias("newest"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'preference' WHEN c_custkey % 5 = 1 THEN 'constraint' WHEN c_custkey % 5 = 2 THEN 'goal' WHEN c_custkey % 5 = 3 THEN 'memory' ELSE 'constraint' END AS category FROM customer""")
+_MARKED = """pm AS (SELECT p_partkey, 'v1.' || CASE WHEN p_partkey % 2 = 0 THEN 'fact' ELSE 'state' END || '.' || replace(p_name, ' ', '_') || '_' ||
+ (['Prefers_', 'preference', 'preference_', 'REQUIRES_', 'must', 'must_', 'constraint_', 'policy_objective_', 'objective_', 'current_focus_', 'next_step_must_', 'sprint.', 'plain'])[p_partkey % 13 + 1] || replace(lower(p_brand), '#', '') AS atom FROM part)"""
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms made from part names, with markers of categories, halves of markers, and two at once."""
+    markers = ("Prefers_", "preference", "preference_", "REQUIRES_", "must", "must_", "constraint_", "policy_objective_", "objective_", "current_focus_", "next_step_must_", "sprint.", "plain")
+    mark = F.element_at(F.array(*[F.lit(m) for m in markers]), (F.col("p_partkey") % len(markers) + 1).cast("int"))
+    kind = F.when(F.col("p_partkey") % 2 == 0, "fact").otherwise("state")
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("v1."), kind, F.lit("."), F.translate("p_name", " ", "_"), F.lit("_"), mark, F.replace(F.lower("p_brand"), F.lit("#"), F.lit(""))).alias("atom"))
+
+
+_CATEGORY = "CASE WHEN regexp_matches(lower({v}), 'prefers_|preference_') THEN 'preference' WHEN regexp_matches(lower({v}), 'requires_|must_|constraint_|policy_') THEN 'constraint' WHEN regexp_matches(lower({v}), 'objective_|current_focus_|next_step_|sprint\\.') THEN 'goal' ELSE 'memory' END"
+
+
+@query(f"WITH {_MARKED} SELECT p_partkey, {_CATEGORY.format(v='substr(atom, 4)')} AS category FROM pm")
 def bootstrap_category(spark, d):
-    words = F.element_at(F.array(*[F.lit(w) for w in ("user_Prefers_dark", "must_keep", "objective_ship", "plain_value", "policy_objective_x")]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    return table(spark, d, "customer").select("c_custkey", A.memory_category(F.concat(F.lit("v1.fact."), words)).alias("category"))
+    return _marked(spark, d).select("p_partkey", A.memory_category(F.col("atom")).alias("category"))
 
 
 # -- governance -------------------------------------------------------------------------------------
@@ -176,13 +194,52 @@ def _leaf_counts(atoms: DataFrame) -> DataFrame:
     return atoms.filter("first_version < 100").groupBy("shard").agg(F.count("*").alias("leaves"))
 
 
-@query(_JUMP.format(_LOG7, "atoms") + _LEAVES + """, req AS (SELECT row_number() OVER (ORDER BY u, s) - 1 AS pos, 'v1.other.user_' || u || '_' || s AS atom FROM (SELECT unnest(range(0, 200)) AS u), (SELECT unnest(['a', 'b', 'c']) AS s))
-SELECT pos, req.atom, shard, idx, CASE WHEN placed.atom IS NULL THEN 'unknown' WHEN gone THEN 'tombstoned' WHEN idx >= coalesce(leaves, 0) THEN 'pending' END AS error FROM req LEFT JOIN placed USING (atom) LEFT JOIN leaves USING (shard)""")
+_BEST = """, nx AS (SELECT atom AS from_atom, lead(atom) OVER (PARTITION BY version ORDER BY seq) AS to_atom, lead(seq) OVER (PARTITION BY version ORDER BY seq) AS seq FROM log WHERE op = 'ADD'),
+ed AS (SELECT from_atom, to_atom, count(*) AS weight, min(seq) AS first_seq FROM nx WHERE to_atom IS NOT NULL GROUP BY 1, 2),
+best AS (SELECT from_atom, to_atom FROM (SELECT from_atom, to_atom, row_number() OVER (PARTITION BY from_atom ORDER BY weight DESC, first_seq) AS n FROM ed JOIN atoms ON to_atom = atoms.atom AND NOT gone) WHERE n = 1)"""
+
+
+def _trained(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the log's additions: each version is a training sequence."""
+    adds = _log(spark, d).filter("op = 'ADD'")
+    return E.edge_weights(E.transitions(adds, "version", "seq"))
+
+
+@query(_JUMP.format(_LOG7, "atoms") + _LEAVES + _BEST + """, req AS (SELECT row_number() OVER (ORDER BY u, s) - 1 AS pos, 'v1.other.user_' || u || '_' || s AS atom FROM (SELECT unnest(range(0, 200)) AS u), (SELECT unnest(['a', 'b', 'c']) AS s)),
+r AS (SELECT pos, req.atom, shard, idx, hash, CASE WHEN placed.atom IS NULL THEN 'unknown' WHEN gone THEN 'tombstoned' WHEN idx >= coalesce(leaves, 0) THEN 'pending' END AS error FROM req LEFT JOIN (SELECT *, sha256(atom) AS hash FROM placed) placed USING (atom) LEFT JOIN leaves USING (shard))
+SELECT pos, atom, shard, idx, hash, error, CASE WHEN error IS NULL THEN to_atom END AS predicted FROM r LEFT JOIN best ON best.from_atom = r.atom""")
 def batch_access(spark, d):
     atoms = L.atoms_view(_sparse(_log(spark, d)))
     req = spark.range(600).select(F.col("id").alias("pos"), F.concat(F.lit("v1.other.user_"), F.floor(F.col("id") / 3), F.lit("_"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int"))).alias("atom"))
-    best = spark.createDataFrame([], "from_atom string, to_atom string")
-    return L.batch_access(req, atoms, _leaf_counts(atoms), best).select("pos", "atom", "shard", "idx", "error")
+    live = atoms.filter("status = 'active'").select(F.col("atom").alias("to_atom"))
+    best = E.top_edge(_trained(spark, d).join(live, "to_atom", "left_semi")).select("from_atom", "to_atom")
+    return L.batch_access(req, atoms, _leaf_counts(atoms), best)
+
+
+@query(_JUMP.format(_LOG7, "atoms") + _LEAVES + """, nx AS (SELECT atom AS from_atom, lead(atom) OVER (PARTITION BY version ORDER BY seq) AS to_atom, lead(ts_ms) OVER (PARTITION BY version ORDER BY seq) AS ts_ms FROM log WHERE op = 'ADD'),
+ed AS (SELECT from_atom, to_atom, count(*) AS weight, max(ts_ms) AS updated_ms FROM nx WHERE to_atom IS NOT NULL GROUP BY 1, 2)
+SELECT p.atom, p.shard, p.idx, CASE WHEN p.gone THEN 'tombstoned' ELSE 'active' END AS status, p.idx < coalesce(leaves, 0) AS committed, p.created_ms, p.committed_version, ed.to_atom, ed.weight, ed.updated_ms
+FROM placed p LEFT JOIN leaves USING (shard) LEFT JOIN ed ON ed.from_atom = p.atom""")
+def atom_inspect(spark, d):
+    """Every atom's record, whether it is a committed leaf, and its outgoing transitions to known atoms."""
+    atoms = L.atoms_view(_sparse(_log(spark, d)))
+    return L.inspect(atoms, _leaf_counts(atoms), _trained(spark, d)).select("atom", "shard", "idx", "status", "committed", "created_ms", "committed_version", "to_atom", "weight", "updated_ms")
+
+
+@query(_JUMP.format("c AS (SELECT p_partkey, 'v1.' || (['fact','event','relation','state','procedure','other'])[p_partkey % 6 + 1] || '.part_' || p_partkey AS atom FROM part)", "c") + """, placed AS (SELECT c.*, split_part(atom, '.', 2) AS kind, shard, row_number() OVER (PARTITION BY shard ORDER BY p_partkey) - 1 AS idx FROM c JOIN shards USING (atom)),
+inc AS (SELECT l_partkey AS p_partkey, count(*) AS score FROM lineitem GROUP BY 1),
+bt AS (SELECT shard, kind, atom FROM (SELECT shard, kind, atom, row_number() OVER (PARTITION BY shard, kind ORDER BY coalesce(score, 0) DESC, idx) AS n FROM placed LEFT JOIN inc USING (p_partkey) WHERE p_partkey % 5 <> 0) WHERE n = 1),
+al AS (SELECT * FROM (VALUES ('fact', 'state', 4), ('fact', 'event', 2), ('event', 'other', 6), ('state', 'procedure', 5), ('state', 'fact', 1)) AS v(kind, to_kind, o) UNION ALL SELECT k, t, list_position(['fact','event','relation','state','procedure','other'], t) FROM (SELECT unnest(['procedure', 'other']) AS k), (SELECT unnest(['fact','event','relation','state','procedure','other']) AS t)),
+m AS (SELECT p.atom, p.shard, b.atom AS predicted, row_number() OVER (PARTITION BY p.atom ORDER BY o) AS n FROM placed p JOIN al USING (kind) JOIN bt b ON b.shard = p.shard AND b.kind = al.to_kind WHERE p.p_partkey % 10 = 3)
+SELECT p.atom, p.shard, m.predicted FROM placed p LEFT JOIN m ON m.atom = p.atom AND m.n = 1 WHERE p.p_partkey % 10 = 3""")
+def warm_read(spark, d):
+    """Pending parts (every tenth) with what the policy alone predicts; relations may go nowhere, other types that it doesn't list anywhere."""
+    kind = F.element_at(F.array(*[F.lit(t) for t in A.TYPES]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    p = table(spark, d, "part").select("p_partkey", kind.alias("atom_type"), F.concat(F.lit("v1."), kind, F.lit(".part_"), "p_partkey").alias("atom"))
+    placed = dense_index(p.withColumn("shard", H.jump_shard(F.col("atom"), 4)), "shard", "p_partkey").withColumn("status", F.when(F.col("p_partkey") % 5 == 0, "tombstoned").otherwise("active"))
+    edges = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("weight")).join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("atom").alias("to_atom"), "weight")
+    policy = {"fact": ["state", "event"], "event": ["other"], "state": ["procedure", "fact"], "relation": []}
+    return L.type_fallback(placed.filter("p_partkey % 10 = 3"), placed, edges, policy)
 
 
 @query(_JUMP.format(_LOG7, "atoms") + _LEAVES + " SELECT shard, count(*) FILTER (WHERE NOT gone) AS active, count(*) FILTER (WHERE gone) AS tombstoned, count(*) FILTER (WHERE NOT gone AND idx >= coalesce(leaves, 0)) AS pending FROM placed LEFT JOIN leaves USING (shard) GROUP BY shard")
@@ -268,9 +325,15 @@ sc AS (SELECT q, doc_id, round(least(1.0, greatest(0.0, sum(idf * tf * 2.2 / (tf
 
 @query(f"WITH {_BM} SELECT q, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5")
 def bm25_topk(spark, d):
+    return _ranked(spark, d, 5)
+
+
+def _ranked(spark: SparkSession, d: str, k: int, docs: DataFrame | None = None, embedding: str | None = None) -> DataFrame:
+    """The k best documents of each benchmark text; docs: those that may be answers, out of the corpus that gives the frequencies."""
+    corpus = table(spark, d, "documents")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("q_text"))
-    scores = T.bm25(table(spark, d, "documents"), queries).withColumn("score", F.round("score", 9))
-    return T.top_k(scores, 5, "q", "doc_id")
+    scorer = K.lexical_scorer(corpus, "text", queries, "q", "q_text", embedding)
+    return K.top(docs if docs is not None else corpus, "doc_id", "text", queries, "q", scorer, k, same=True)
 
 
 @query(f"""WITH p AS (SELECT p_partkey, list_distinct({_TOK.format('p_name')}) AS pt FROM part), s AS (SELECT p1.p_partkey AS a, p2.p_partkey AS b, round(len(list_intersect(p1.pt, p2.pt)) / len(list_distinct(list_concat(p1.pt, p2.pt))), 9) AS score FROM p p1, p p2 WHERE p1.p_partkey % 100 = 0 AND p1.p_partkey <> p2.p_partkey)
@@ -302,30 +365,41 @@ def ngram_embed_buckets(spark, d):
     return _part_vectors(spark, d).withColumn("weight", F.round("weight", 9))
 
 
-@query(_FNV + """, cs AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(greatest(-1, least(1, sum(a.weight * b.weight))), 9) AS cosine FROM vec a JOIN vec b USING (bucket) WHERE a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey GROUP BY 1, 2)
+@query(_FNV + """, qs AS (SELECT DISTINCT p_partkey AS a FROM vec WHERE p_partkey % 100 = 0), dt AS (SELECT a.p_partkey AS a, b.p_partkey AS b, sum(a.weight * b.weight) AS c FROM vec a JOIN vec b USING (bucket) WHERE a.p_partkey % 100 = 0 GROUP BY 1, 2),
+cs AS (SELECT qs.a, p.p_partkey AS b, round(greatest(-1, least(1, coalesce(c, 0))), 9) AS cosine FROM qs, (SELECT DISTINCT p_partkey FROM part) p LEFT JOIN dt ON dt.a = qs.a AND dt.b = p.p_partkey WHERE qs.a <> p.p_partkey)
 SELECT a, b, cosine, round((cosine + 1) / 2, 9) AS index_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM cs) WHERE rank <= 5""")
 def ngram_cosine_topk(spark, d):
-    v = _part_vectors(spark, d)
-    a = v.filter("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "a")
-    c = T.bucket_cosine(a, v.withColumnRenamed("p_partkey", "b"), "a", "b").filter("a <> b").withColumn("cosine", F.round("cosine", 9))
-    return T.top_k(c, 5, "a", "b", "cosine").select("a", "b", "cosine", F.round(T.index_score(F.col("cosine")), 9).alias("index_score"), "rank")
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    vectors = T.embedded(p, "p_partkey", "p_name", "ngram")
+    a = vectors.filter("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "a")
+    c = K.top(vectors.withColumnRenamed("p_partkey", "b"), "b", "embedding", a, "a", lambda chunk: K.Dot(chunk, "a", "embedding"), 5)
+    return c.select("a", "b", F.col("score").alias("cosine"), F.round(T.index_score(F.col("score")), 9).alias("index_score"), "rank")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, round(list_dot_product(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT q, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    s = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(H.dot(F.col("embedding"), F.col("qe")), 9).alias("score"))  # a stated set of queries against all rows
-    return T.top_k(s, 5, "q", "vec_id")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding"))
+    return K.top(e, "vec_id", "embedding", q, "q", lambda chunk: K.Dot(chunk, "q", "embedding"), 5)
+
 
+# the words of queries and documents as hashed n-grams: a vector a text
+_GRAMS = """, tx AS (SELECT -1 - item_id AS id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents), tw AS (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM tx), ct AS (SELECT id, w, count(*) AS n FROM tw GROUP BY 1, 2),
+dw AS (SELECT DISTINCT w FROM ct), ng AS (SELECT w, 'w:' || w AS f FROM dw UNION ALL SELECT w, 'n:' || w FROM dw WHERE length(w) = 2 UNION ALL SELECT w, 'n:' || substr(w, i, k) FROM dw, (SELECT unnest([3, 4, 5]) AS k), (SELECT unnest(range(1, 60)) AS i) WHERE i + k - 1 <= length(w)),
+fs AS (SELECT DISTINCT f FROM ng), fh AS (SELECT f, 0 AS i, 2166136261::BIGINT AS h FROM fs UNION ALL
+ SELECT f, i + 1, (trunc((CASE WHEN xor(h, ascii(substr(f, i + 1, 1))::BIGINT) >= 2147483648 THEN xor(h, ascii(substr(f, i + 1, 1))::BIGINT) - 4294967296 ELSE xor(h, ascii(substr(f, i + 1, 1))::BIGINT) END)::DOUBLE * 16777619.0::DOUBLE)::BIGINT & 4294967295) FROM fh WHERE i < length(f)),
+wv AS (SELECT w, (h % 256)::INTEGER AS bucket, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS s FROM ng JOIN (SELECT f, h FROM fh WHERE i = length(f)) USING (f) GROUP BY 1, 2),
+rv AS (SELECT id, bucket, sum(n * s) AS v FROM ct JOIN wv USING (w) GROUP BY 1, 2), uv AS (SELECT id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS u FROM rv WHERE v <> 0),
+cq AS (SELECT -1 - a.id AS q, b.id AS doc_id, sum(a.u * b.u) AS c FROM uv a JOIN uv b USING (bucket) WHERE a.id < 0 AND b.id >= 0 GROUP BY 1, 2)"""
 
-@query(f"""WITH {_BM}, l2 AS (SELECT doc_id, quality FROM labels), h AS (SELECT q, sc.doc_id, round(greatest(score, 0.8 * quality) + 0.1 * least(score, 0.8 * quality), 9) AS score FROM sc JOIN l2 USING (doc_id))
-SELECT q, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 5""")
+
+@query(f"""WITH RECURSIVE {_BM}{_GRAMS}, al AS (SELECT item_id AS q, documents.doc_id AS doc_id, coalesce(sc2.score, 0) AS b, 0.8 * (greatest(-1, least(1, coalesce(c, 0))) + 1) / 2 AS e FROM benchmark CROSS JOIN documents LEFT JOIN (SELECT q, doc_id, score FROM sc) sc2 ON sc2.q = item_id AND sc2.doc_id = documents.doc_id LEFT JOIN cq ON cq.q = item_id AND cq.doc_id = documents.doc_id),
+h AS (SELECT q, doc_id, round(greatest(b, e) + 0.1 * least(b, e), 7) AS score FROM al) SELECT q, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 5""")
 def hybrid_topk(spark, d):
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("q_text"))
-    bm = T.bm25(table(spark, d, "documents"), queries).withColumn("score", F.round("score", 9)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    return T.top_k(bm.select("q", "doc_id", F.round(T.hybrid(F.col("score"), F.col("quality")), 9).alias("score")), 5, "q", "doc_id")
+    """Words and hashed n-grams of the same texts, together."""
+    top = _ranked(spark, d, 12, embedding="ngram").drop("rank").withColumn("score", F.round("score", 7))
+    return T.top_k(top, 5, "q", "doc_id")
 
 
 _ITEMS = f"""{_BM}, r AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM sc),
@@ -333,9 +407,7 @@ items AS (SELECT r.q, r.doc_id, r.rank, r.score, greatest(1, ceil(length(d.text)
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("q_text"))
-    top = T.top_k(T.bm25(docs, queries).withColumn("score", F.round("score", 9)), 12, "q", "doc_id")
+    docs, top = table(spark, d, "documents"), _ranked(spark, d, 12)
     return top.join(docs.select("doc_id", A.estimate_tokens(F.col("text")).alias("tokens")), "doc_id").join(table(spark, d, "labels"), "doc_id", "left").fillna({"quality": 0, "toxic": 0})
 
 
@@ -353,22 +425,37 @@ def evidence_gate(spark, d):
     return T.evidence_gate(e).select("q", "doc_id", "evidence", "included", "input_count", "excluded_count", "low_evidence_fallback", "exclusion_rate")
 
 
-@query(f"""WITH {_BM}, d2 AS (SELECT doc_id FROM documents WHERE source <> 'src0' AND n_chars <= 3000), s AS (SELECT q, doc_id, score FROM sc JOIN d2 USING (doc_id) WHERE score >= 0.05)
+@query(f"""WITH {_BM}, lg AS (SELECT doc_id, doc_id // 50 + 1 AS version, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy FROM documents), mx AS (SELECT max(version) // 2 AS v FROM lg),
+d2 AS (SELECT doc_id FROM lg, mx WHERE copy = 1 AND version <= v), s AS (SELECT q, doc_id, score FROM sc JOIN d2 USING (doc_id) WHERE score >= 0.05)
 SELECT q, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def search_asof(spark, d):
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("q_text"))
-    scores = T.bm25(table(spark, d, "documents"), queries).withColumn("score", F.round("score", 9))  # frequencies of the current corpus
-    live = table(spark, d, "documents").filter("source <> 'src0' and n_chars <= 3000").select("doc_id")  # the length stands for the version, the source for removal
-    return T.top_k(scores.filter("score >= 0.05").join(live, "doc_id", "left_semi"), 10, "q", "doc_id")
+    """Documents added fifty a version, later copies of a text removed; searched as of half of the versions, with the frequencies of the current corpus."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.floor(F.col("doc_id") / 50) + 1).cast("long").alias("committed_version"))
+    first = docs.groupBy(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s")).agg(F.min("doc_id").alias("doc_id"))
+    status = docs.join(first.select("doc_id", F.lit("active").alias("status")), "doc_id", "left").fillna({"status": "tombstoned"})
+    half = docs.agg(F.max("committed_version")).first()[0] // 2
+    return _ranked(spark, d, 10, L.as_of(status, version=half)).filter("score >= 0.05")
+
+
+# known-item retrieval: the first twelve words of every fiftieth document ask for that document, among all
+_KNOWN = f"""{_DOCS}, l AS (SELECT doc_id, len(toks) AS len FROM t), st AS (SELECT count(*) AS n, avg(len) AS al FROM l), tf AS (SELECT doc_id, token, count(*) AS tf FROM x GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT doc_id AS q, unnest(toks[1:12]) AS token FROM t WHERE doc_id % 50 = 0), w AS (SELECT q, token, ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) AS idf FROM q LEFT JOIN df USING (token), st),
+nm AS (SELECT q, sum(idf) * 2.2 AS norm FROM w GROUP BY q),
+sc AS (SELECT q, doc_id, round(least(1.0, greatest(0.0, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) / any_value(norm))), 9) AS score FROM tf JOIN w USING (token) JOIN l USING (doc_id) JOIN nm USING (q), st GROUP BY q, doc_id),
+rk AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
-@query(f"""WITH {_ITEMS}, lab AS (SELECT q, doc_id FROM items WHERE quality = 1 AND tokens % 2 = 0), c AS (SELECT lab.q, CASE WHEN lab.q % 2 = 0 THEN 'even' ELSE 'odd' END AS category, min(rank) AS best FROM lab JOIN items USING (q, doc_id) GROUP BY 1, 2)
-SELECT category, count(*) AS queries, round(avg((best <= 1)::INT), 9) AS recall_1, round(avg((best <= 3)::INT), 9) AS recall_3, round(avg((best <= 5)::INT), 9) AS recall_5, round(avg(1.0 / best), 9) AS mrr FROM c GROUP BY ROLLUP (category)""")
+@query(f"""WITH {_KNOWN}, lab AS (SELECT doc_id AS q, coalesce(lang, 'none') AS category FROM documents WHERE doc_id % 50 = 0), c AS (SELECT lab.q, category, min(rank) AS best FROM lab LEFT JOIN (SELECT * FROM rk WHERE rank <= 10 AND score > 0) r ON r.q = lab.q AND r.doc_id = lab.q GROUP BY 1, 2)
+SELECT category, count(*) AS queries, round(avg(coalesce((best <= 1)::INT, 0)), 9) AS recall_1, round(avg(coalesce((best <= 3)::INT, 0)), 9) AS recall_3, round(avg(coalesce((best <= 5)::INT, 0)), 9) AS recall_5, round(avg(coalesce(1.0 / best, 0)), 9) AS mrr FROM c GROUP BY ROLLUP (category)""")
 def recall_mrr(spark, d):
-    items = _items(spark, d)
-    results = items.select("q", F.col("doc_id").alias("key"), "rank", "score")
-    labels = items.filter("quality = 1 and tokens % 2 = 0").select("q", F.col("doc_id").alias("key"), F.when(F.col("q") % 2 == 0, "even").otherwise("odd").alias("category"))
-    out = T.recall_and_rank(results, labels)
+    """Of known items: labels come from the documents, not from what is found; ten answers a query."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    asked = docs.filter("doc_id % 50 = 0")
+    queries = asked.select(F.col("doc_id").alias("q"), F.array_join(F.slice(A.tokens(F.col("text")), 1, 12), " ").alias("q_text"))
+    scorer = K.lexical_scorer(docs, "text", queries, "q", "q_text")
+    found = K.top(docs.withColumnRenamed("doc_id", "key"), "key", "text", queries, "q", scorer, 10, same=True)
+    labels = asked.select(F.col("doc_id").alias("q"), F.col("doc_id").alias("key"), F.coalesce("lang", F.lit("none")).alias("category"))
+    out = T.recall_and_rank(found, labels)
     return out.select("category", "queries", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")])
 
 
@@ -377,3 +464,34 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", A.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+
+
+# -- decisions --------------------------------------------------------------------------------------
+_OBJECTIVE = "ship the green metallic policy"
+
+
+@query(_JUMP.format(_MARKED + ", pa AS (SELECT p_partkey, atom, row_number() OVER (ORDER BY p_partkey) AS seq FROM pm)", "pa") + f""", pl AS (SELECT pa.*, shard, row_number() OVER (PARTITION BY shard ORDER BY p_partkey) - 1 AS idx, count(*) OVER (PARTITION BY shard) AS n FROM pa JOIN shards USING (atom)),
+v AS (SELECT *, substr(atom, strpos(substr(atom, 4), '.') + 4) AS value FROM pl), tk AS (SELECT *, list_distinct({_TOK.format("split_part(atom, '.', 2) || ' ' || value || ' ' || atom")}) AS ts, list_distinct({_TOK.format(f"'{_OBJECTIVE}'")}) AS qs, {_TOK.format('value')} AS vs FROM v),
+sc AS (SELECT *, round(len(list_intersect(ts, qs)) / len(list_distinct(list_concat(ts, qs))), 6) AS score, {_CATEGORY.format(v='value')} AS category, idx < n - 5 AND p_partkey % 7 <> 0 AS proven, len(list_intersect(qs, vs)) AS overlap FROM tk),
+e AS (SELECT *, round(least(1, greatest(0, score * 0.55 + CASE WHEN proven THEN 0.25 ELSE 0 END + CASE WHEN category = 'memory' THEN 0 ELSE 0.1 END + 0.1)), 6) AS evidence FROM sc),
+t AS (SELECT *, row_number() OVER (ORDER BY score DESC, p_partkey DESC, atom) AS rank FROM e)
+SELECT atom, proven, evidence, rank, array_to_string(list_filter([CASE WHEN overlap > 0 THEN 'objective_token_overlap=' || overlap END, CASE WHEN score > 0 THEN 'semantic_relevance=' || regexp_replace(printf('%.6f', score::DOUBLE), '\\.?0+$', '') END, CASE WHEN category <> 'memory' THEN 'category=' || category END,
+ 'evidence_score=' || regexp_replace(printf('%.6f', evidence::DOUBLE), '\\.?0+$', ''), 'threshold_gate=' || CASE WHEN evidence >= 0.4 THEN 'pass' ELSE 'fail' END, 'rank=' || rank], lambda x: x IS NOT NULL), ';') AS reasons FROM t WHERE rank <= 200""")
+def decision_evidence(spark, d):
+    """The 200 most relevant of the marked atoms, whether their leaf is committed and its path leads to the shard's root, and why each was chosen.
+
+    The last five atoms of a shard are not committed yet, and every seventh part's leaf was forged.
+    """
+    atoms = dense_index(_marked(spark, d).withColumn("shard", H.jump_shard(F.col("atom"), 4)), "shard", "p_partkey")
+    counts = atoms.groupBy("shard").agg((F.count("*") - 5).alias("leaves"))
+    placed = atoms.join(counts, "shard").withColumn("hash", H.atom_hash(F.col("atom")))
+    leaves = placed.filter("idx < leaves").select("shard", "idx", "hash")
+    a = F.col("atom")
+    score = F.round(A.jaccard(F.array_distinct(A.tokens(A.semantic_text(a))), F.array_distinct(A.tokens(F.lit(_OBJECTIVE)))), 6)
+    top = placed.select("atom", "shard", "idx", F.when(F.col("p_partkey") % 7 == 0, F.sha2(F.lit("forged"), 256)).otherwise(F.col("hash")).alias("hash"), F.col("p_partkey").alias("created_ms"), score.alias("score")).orderBy(F.desc("score"), F.desc("created_ms"), "atom").limit(200)
+    paths = M.audit_paths(leaves, "shard", wanted=top).select("shard", "idx", "path")
+    known = top.join(paths, ["shard", "idx"], "left").join(M.roots(leaves, "shard"), "shard", "left")
+    proven = F.coalesce(M.root_of_path(F.col("hash"), F.col("idx"), F.col("path")) == F.col("root"), F.lit(False))
+    items = known.withColumn("proven", proven).withColumn("category", A.memory_category(a)).withColumn("conflict_key", F.lit(None).cast("string")).withColumn("q", F.lit(0))
+    items = items.withColumn("evidence", T.evidence_score(F.col("score"), F.col("proven"), F.col("category"), F.lit(False)))
+    return T.with_reasons(items, _OBJECTIVE, 0.4).select("atom", "proven", "evidence", "rank", F.array_join("reasons", ";").alias("reasons"))

@@ -1,4 +1,4 @@
-"""Queries over Merkle trees of nations and customers, and over write-ahead entries."""
+"""Queries over Merkle trees of orders and customers, and over write-ahead entries."""
 
 from __future__ import annotations
 
@@ -40,26 +40,37 @@ def kernel_root(spark, d):
     return M.roots(_leaves(spark, d, "customer", "c_custkey", "c_name"), "tree", zero_pad=False)
 
 
-_NATION = _sql_leaves("nation", "n_nationkey", "n_name")
-_PATH = """, p AS (SELECT lv.tree, lv.idx, lv.hash, list(up.l[xor(lv.idx >> up.lev, 1) + 1] ORDER BY up.lev) AS path FROM lv JOIN up USING (tree) WHERE up.lev < up.h GROUP BY ALL)"""
+_ORDERS = _sql_leaves("orders", "o_orderkey", "o_orderpriority || o_custkey || ':' || o_orderkey")
+#: Every node as a row, and the siblings of each leaf by the nodes' places.
+_NODES = """, nd AS (SELECT tree, lev, unnest(range(0, len(l))) AS pos, unnest(l) AS h FROM up WHERE lev < h)"""
+_PATH = _NODES + """, p AS (SELECT lv.tree, lv.idx, lv.hash, list(nd.h ORDER BY nd.lev) AS path FROM lv JOIN (SELECT DISTINCT tree, lev FROM nd) s USING (tree) JOIN nd ON nd.tree = lv.tree AND nd.lev = s.lev AND nd.pos = xor(lv.idx >> s.lev, 1) GROUP BY ALL)"""
 
 
-@query(f"WITH RECURSIVE {_sql_roots(_NATION, 'zero')}{_PATH} SELECT tree, idx, hash, array_to_string(path, ',') AS path FROM p")
+def _order_leaves(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", "o_custkey", F.lit(":"), "o_orderkey").alias("label"))
+    k, label = F.col("o_orderkey"), F.sha2(F.concat(F.lit("v1.other."), "label").cast("binary"), 256)
+    third = F.floor(k / 3)
+    return rows.select(F.when(k % 3 == 0, 1).otherwise(0).alias("tree"), F.when(k % 3 == 0, third).otherwise(third * 2 + k % 3 - 1).cast("long").alias("idx"), label.alias("hash"))
+
+
+
+
+@query(f"WITH RECURSIVE {_sql_roots(_ORDERS, 'zero')}{_PATH} SELECT tree, idx, hash, array_to_string(path, ',') AS path FROM p")
 def merkle_paths(spark, d):
-    return M.audit_paths(_leaves(spark, d, "nation", "n_nationkey", "n_name"), "tree").withColumn("path", F.array_join("path", ","))
+    return M.audit_paths(_order_leaves(spark, d), "tree").withColumn("path", F.array_join("path", ","))
 
 
-@query(f"WITH RECURSIVE {_sql_roots(_NATION, 'zero')} SELECT lv.tree, lv.idx, lv.idx % 4 <> 0 AS valid, up.l[1] AS root FROM lv JOIN up USING (tree) WHERE lev = h")
+@query(f"WITH RECURSIVE {_sql_roots(_ORDERS, 'zero')} SELECT lv.tree, lv.idx, lv.idx % 4 <> 0 AS valid, up.l[1] AS root FROM lv JOIN up USING (tree) WHERE lev = h")
 def merkle_verify(spark, d):
-    leaves = _leaves(spark, d, "nation", "n_nationkey", "n_name")
+    leaves = _order_leaves(spark, d)
     paths = M.audit_paths(leaves, "tree").join(M.roots(leaves, "tree"), "tree")
     claimed = F.when(F.col("idx") % 4 == 0, F.sha2(F.lit("forged").cast("binary"), 256)).otherwise(F.col("hash"))
     return paths.select("tree", "idx", (M.root_of_path(claimed, F.col("idx"), F.col("path")) == F.col("root")).alias("valid"), "root")
 
 
-@query(f"WITH RECURSIVE {_sql_roots(_NATION, 'last')}, pp AS (SELECT lv.tree, lv.idx, list(coalesce(up.l[xor(lv.idx >> up.lev, 1) + 1], up.l[(lv.idx >> up.lev) + 1]) ORDER BY up.lev) AS path FROM lv JOIN up USING (tree) WHERE up.lev < up.h GROUP BY ALL) SELECT tree, idx, array_to_string(path, ',') AS path FROM pp")
+@query(f"WITH RECURSIVE {_sql_roots(_ORDERS, 'last')}{_NODES}, pp AS (SELECT lv.tree, lv.idx, list(coalesce(o.h, m.h) ORDER BY m.lev) AS path FROM lv JOIN (SELECT DISTINCT tree, lev FROM nd) s USING (tree) JOIN nd m ON m.tree = lv.tree AND m.lev = s.lev AND m.pos = lv.idx >> s.lev LEFT JOIN nd o ON o.tree = lv.tree AND o.lev = s.lev AND o.pos = xor(lv.idx >> s.lev, 1) GROUP BY ALL) SELECT tree, idx, array_to_string(path, ',') AS path FROM pp")
 def kernel_paths(spark, d):
-    return M.audit_paths(_leaves(spark, d, "nation", "n_nationkey", "n_name"), "tree", zero_pad=False).select("tree", "idx", F.array_join("path", ",").alias("path"))
+    return M.audit_paths(_order_leaves(spark, d), "tree", zero_pad=False).select("tree", "idx", F.array_join("path", ",").alias("path"))
 
 
 def _shard_roots(spark: SparkSession, d: str) -> DataFrame:
@@ -96,12 +107,33 @@ def consistency_check(spark, d):
     return M.consistency(pairs, chain)
 
 
-@query("""WITH l AS (SELECT n_nationkey AS idx, sha256(n_name) AS hash FROM nation WHERE n_nationkey < 20) SELECT n_nationkey AS idx, CASE WHEN n_nationkey % 6 = 0 THEN repeat('0', 64) ELSE sha256(n_name) END AS hash FROM nation""")
+@query("""WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders) SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 6 = 0 THEN repeat('0', 64) ELSE sha256(o_orderpriority || o_custkey) END AS hash FROM orders""")
 def pending_apply(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), F.sha2(F.col("n_name").cast("binary"), 256).alias("hash"))
-    adds = n.filter("idx >= 20").select(F.col("idx").alias("seq"), F.lit("ADD").alias("op"), "idx", "hash")
-    marks = n.filter("idx % 6 = 0").select((F.col("idx") + 100).alias("seq"), F.lit("TOMBSTONE").alias("op"), "idx", F.lit(None).cast("string").alias("hash"))
-    return M.apply_pending(n.filter("idx < 20"), adds.unionByName(marks))
+    """Two thirds of the orders are leaves; the rest is added, and every sixth is removed."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.sha2(F.concat("o_orderpriority", "o_custkey").cast("binary"), 256).alias("hash"))
+    n = o.agg(F.max("idx")).first()[0] + 1
+    adds = o.filter(F.col("idx") >= n * 2 // 3).select(F.col("idx").alias("seq"), F.lit("ADD").alias("op"), "idx", "hash")
+    marks = o.filter("idx % 6 = 0").select((F.col("idx") + n).alias("seq"), F.lit("TOMBSTONE").alias("op"), "idx", F.lit(None).cast("string").alias("hash"))
+    return M.apply_pending(o.filter(F.col("idx") < n * 2 // 3), adds.unionByName(marks))
+
+
+_CHANGED = _sql_leaves("orders", "o_orderkey", "o_orderpriority || o_custkey || ':' || o_orderkey").replace("lv AS", "lv0 AS", 1) + ", sz AS (SELECT tree, count(*) AS n FROM lv0 GROUP BY tree), lv AS (SELECT tree, idx, CASE WHEN idx % 50 = 7 AND idx < n // 3 THEN repeat('0', 64) ELSE hash END AS hash FROM lv0 JOIN sz USING (tree))"
+
+
+@query(f"WITH RECURSIVE {_sql_roots(_CHANGED, 'zero')}{_NODES} SELECT tree, lev AS level, pos, h AS hash FROM nd JOIN sz USING (tree) WHERE pos << lev < sz.n UNION ALL SELECT tree, lev, 0, l[1] FROM up WHERE lev = h")
+def merkle_incremental(spark, d):
+    """A tree of a third of the orders: some leaves change, the others are appended and the tree doubles twice; only what is above them is hashed.
+
+    Nodes over missing leaves alone are not kept, so the SQL's are left out of the comparison.
+    """
+    leaves = _order_leaves(spark, d)
+    sizes = leaves.groupBy("tree").agg(F.count("*").alias("n"))
+    rows = leaves.join(sizes, "tree")
+    third = F.floor(F.col("n") / 3)
+    table_ = M.nodes(rows.filter(F.col("idx") < third).select("tree", "idx", "hash"), "tree")
+    gone = rows.filter((F.col("idx") < third) & (F.col("idx") % 50 == 7)).select("tree", "idx", F.lit(ZERO_HASH).alias("hash"))
+    new = rows.filter(F.col("idx") >= third).select("tree", "idx", "hash")
+    return M.update_nodes(table_, gone.unionByName(new), "tree").select("tree", "level", "pos", "hash")
 
 
 # -- write-ahead entries ---------------------------------------------------------------------------
@@ -139,11 +171,11 @@ def wal_checksum(spark, d):
     return _entries(spark, d).select("seq", W.checksum(*[F.col(c) for c in ("seq", "ts", "op", "data", "index")]).alias("ck"))
 
 
-@query(f"""WITH RECURSIVE {_sql_roots(_NATION, 'zero')}, m AS (SELECT sha256(sha256(max(root) FILTER (WHERE tree = 0))) AS h0, max(root) FILTER (WHERE tree = 0) AS r0, max(root) FILTER (WHERE tree = 1) AS r1 FROM (SELECT tree, l[1] AS root FROM up WHERE lev = h))
+@query(f"""WITH RECURSIVE {_sql_roots(_ORDERS, 'zero')}, m AS (SELECT sha256(sha256(max(root) FILTER (WHERE tree = 0))) AS h0, max(root) FILTER (WHERE tree = 0) AS r0, max(root) FILTER (WHERE tree = 1) AS r1 FROM (SELECT tree, l[1] AS root FROM up WHERE lev = h))
 SELECT lv.tree, lv.idx, lv.idx % 5 <> 0 AS valid, sha256(unhex(sha256(r0)) || unhex(sha256(r1))) AS root FROM lv, m""")
 def report_validate(spark, d):
     """Leaf to shard to master, with the root of a forged leaf in every fifth place."""
-    leaves = _leaves(spark, d, "nation", "n_nationkey", "n_name")
+    leaves = _order_leaves(spark, d)
     roots = M.roots(leaves, "tree").select(F.lit(0).alias("version"), F.col("tree").alias("shard"), "root")
     master = M.master_root(roots).select("root")
     upper = roots.select(F.lit(0).alias("m"), F.col("shard").cast("long").alias("idx"), F.sha2(F.col("root").cast("binary"), 256).alias("hash"))

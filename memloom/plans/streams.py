@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +12,14 @@ from ..functions.wordpiece import embed_documents
 from ..operators import commitments as V
 from ..operators import edges as E
 from ..operators import ppm as P
+from ..operators.storage import shared_folder
 from ..sources import generators as G
 from ..streaming import feeds as S
 from .registry import DAY, EV, events, ntz_millis, query, table
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that executors share: that of the checkpoints, and a local one only in local mode."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/streams"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="memloom-streams-")
+    return f"{shared_folder(spark)}/streams"
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -76,13 +72,39 @@ def stream_ttl(spark, d):
     return S.latest(spark, out, "atom").select("atom", "touched", "last_ms", "promoted")
 
 
+@query(f"WITH {EV} SELECT count(*) AS read, count(DISTINCT user_id) AS kept, count(*) - count(DISTINCT user_id) AS dropped FROM ev")
+def ingest_statistics(spark, d):
+    """Rows that a stream read, those it let through once, and those it dropped, from the batches' own progress."""
+    stream, progress = _stream(spark, d).withColumn("atom", F.concat(F.lit("v1.other.user_"), "user_id")), []
+    out = S.drain(S.valid_once(stream, "time", "60 days"), _folder(spark), progress=progress)
+    return S.ingest_statistics(spark, progress, out)
+
+
+@query(f"WITH {EV} SELECT 'v1.event.' || event_type AS atom, count(*) AS n FROM ev GROUP BY 1")
+def stream_recovery(spark, d):
+    """A stream that is killed after it wrote a batch, before the batch was marked as done, and goes on: every row once."""
+    folder, name, runs = _folder(spark), uuid.uuid4().hex, []
+
+    def fail_once(df: DataFrame, batch: int) -> None:
+        runs.append(batch)
+        if len(runs) == 1:
+            raise RuntimeError("killed")
+
+    for _ in range(2):
+        try:
+            out = S.drain(_stream(spark, d).select("atom", "seq"), folder, each=fail_once, name=name)
+        except StreamingQueryException:
+            continue
+    return spark.read.parquet(f"{out}/batch=*").groupBy("atom").agg(F.count("*").alias("n"))
+
+
 # -- operators that SQL cannot express: tests hold them against plain Python ---------------------------
 
 
 @query()
 def commitment_root(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), F.sha2(F.col("n_name").cast("binary"), 256).alias("hash"))
-    return V.tree(n)[-1].select("commitment")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.sha2(F.col("s_name").cast("binary"), 256).alias("hash"))
+    return V.tree(s)[-1].select("commitment")
 
 
 @query()

@@ -83,22 +83,34 @@ def ttl(stream: DataFrame, time: str, delay: str = "1 minute", grace_ms: int = 3
     return rows.groupBy("atom").applyInPandasWithState(run, _TTL_OUT, _TTL_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> str:
+def drain(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, name: str | None = None, progress: list | None = None) -> str:
     """Runs a stream over what is there now into a folder, a batch at a time; returns the folder.
 
-    Each batch is written under its number, so a batch that runs again replaces itself.
+    Each batch is written under its number, so a batch that runs again replaces itself: after a crash, the same name
+    goes on where the marks say, and nothing is lost or twice. progress gets a record for each batch that had rows.
     """
-    out, marks = f"{path}/out-{uuid.uuid4().hex}", f"{path}/marks-{uuid.uuid4().hex}"
+    own = name or uuid.uuid4().hex
+    out, marks = f"{path}/out-{own}", f"{path}/marks-{own}"
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         if each:
             each(df, batch)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    if progress is not None:
+        progress += [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["batchDuration"]} for p in query.recentProgress if p["numInputRows"]]
     return out
 
 
+def ingest_statistics(spark: SparkSession, progress: list[dict], out: str) -> DataFrame:
+    """One row: rows read and batches of a drained stream, rows that it let through, and those it dropped."""
+    read = sum(p["rows"] for p in progress)
+    kept = spark.read.parquet(f"{out}/batch=*").agg(F.count("*").alias("kept"))
+    return kept.select(F.lit(read).cast("long").alias("read"), "kept", (F.lit(read) - F.col("kept")).alias("dropped"))
+
+
 def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """The last update of each key of a drained stream in update mode."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
