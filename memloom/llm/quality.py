@@ -7,7 +7,7 @@ and source says where the bulk of its vectors lies:
 
 * two deterministic starts: medians with absolute deviations, and plain mean with covariance;
 * concentration steps: distances under the current estimate, then mean and covariance of the
-  nearest three quarters, until no determinant changes any more (STEPS at most). One step is one
+  nearest three quarters, until no logarithm of a determinant changes by more than SETTLED (STEPS at most). One step is one
   pass: vectors are aggregated by group and distance bin (sums of integers, so the result does not
   depend on the order of rows), and a running count over the bins, 32 to a doubling of the squared
   distance, says which bins make up the subset: three quarters, and what is left of the last bin;
@@ -36,7 +36,7 @@ REPEAT_WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Values of the vector: name, and the least standard deviation that a group is given, in thousandths.
 VALUES = (("word_length", 60), ("symbols", 60), ("capitals", 60), ("repeats", 150), ("dup_lines", 200))
 DIMS = len(VALUES)
-LEAST, STEPS, SETTLED, BINS, PER_DOUBLING, SUBSET = 50, 20, 1e-3, 1280, 32, 0.75
+LEAST, STEPS, SETTLED, BINS, PER_DOUBLING, SUBSET = 50, 20, 1e-2, 1280, 32, 0.75
 #: Quantiles of chi-squared with five degrees of freedom: of one half, of 0.975 and of 0.9999.
 CHI_HALF, CHI_REWEIGHT, CUT = 4.351, 12.833, 25.745
 
