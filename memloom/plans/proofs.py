@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import ZERO_HASH
 from ..operators import merkle as M
 from ..operators import wal as W
+from ..operators.storage import written
 from .registry import query, table
 
 
@@ -130,7 +131,7 @@ def merkle_incremental(spark, d):
     sizes = leaves.groupBy("tree").agg(F.count("*").alias("n"))
     rows = leaves.join(sizes, "tree")
     third = F.floor(F.col("n") / 3)
-    table_ = M.nodes(rows.filter(F.col("idx") < third).select("tree", "idx", "hash"), "tree")
+    table_ = written(M.nodes(rows.filter(F.col("idx") < third).select("tree", "idx", "hash"), "tree"))
     gone = rows.filter((F.col("idx") < third) & (F.col("idx") % 50 == 7)).select("tree", "idx", F.lit(ZERO_HASH).alias("hash"))
     new = rows.filter(F.col("idx") >= third).select("tree", "idx", "hash")
     return M.update_nodes(table_, gone.unionByName(new), "tree").select("tree", "level", "pos", "hash")
