@@ -4,7 +4,9 @@ A byte pair that occurs inside no token of the vocabulary can never be merged ac
 such place in a text is a certain cut: the fragments between cuts are encoded independently and
 their ids concatenated. White space occurs in no token, so it always cuts; inside a word the cuts
 come from the table of pairs. Fragments repeat a great deal, so each worker keeps bounded
-memories of what it has encoded; they change the speed only.
+memories of what it has encoded; they change the speed only. Where only ids are wanted
+(:meth:`ForcedBoundaryBpe.encode_all`), the words of many texts are cut, told apart and put back
+as arrays, and the merge engine sees each different piece of them once.
 
 Defined cases: a null text counts as empty and gives no ids; strings such as ``<|endoftext|>`` in
 a text give the ids of the special tokens, as the library does; rows with equal texts give equal
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import TOKENIZER_FILE, read_table, tokenizer_path
@@ -28,6 +31,31 @@ from .common import TOKENIZER_FILE, read_table, tokenizer_path
 _ONLY_PYTHON_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Below this code point normalisation only lowers the case, but for U+0130.
 _PLAIN = "ɐ"
+#: Classes of bytes in lower-case words: symbols, letters (all of U+00C0 to U+01FF but two), digits.
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[ord("a") : ord("z") + 1] = _CLASS[0x80:] = 1
+_CLASS[ord("0") : ord("9") + 1] = 2
+#: Bytes of words that are left to the patterns: controls, apostrophes, and what begins other code points.
+_RARE = np.zeros(256, dtype=bool)
+_RARE[:0x20] = _RARE[0x7F] = _RARE[ord("'")] = _RARE[0xC2] = _RARE[0xC8:] = True
+#: And pairs of bytes: the two symbols among those letters, the letter that grows, what begins a special token.
+_RARE_PAIRS = ("×".encode(), "÷".encode(), "İ".encode(), b"<|")
+#: Words of more bytes are left to the patterns too, which cut them before they are merged.
+_LONG = 4096
+#: Pieces given to the merge engine at a time.
+_AT_ONCE = 1000
+
+
+def _strings(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings, and where each begins."""
+    array = array.cast(pa.large_binary())
+    _, at, data = array.buffers()
+    at = np.frombuffer(at, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] else np.zeros(0, np.uint8)), at - at[0]
+
+
+def _lists(at: np.ndarray, ids: np.ndarray | pa.Array) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(ids, pa.uint32()))
 
 
 class _Memory(dict):
@@ -69,6 +97,7 @@ class ForcedBoundaryBpe:
         import regex
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -84,6 +113,13 @@ class ForcedBoundaryBpe:
         # one merge engine for fragments that end a pre-token, one for those that do not
         self.ending = self.lib.model
         self.within = BPE(vocab=self.vocab, merges=[tuple(m) for m in model["merges"]])
+        # the first engine for pieces in a row: each ends with the one token of its that has the suffix
+        self.row = Tokenizer(self.ending)
+        self.row.pre_tokenizer = WhitespaceSplit()
+        self.ends_piece = np.zeros(max(self.token_of) + 1, dtype=bool)
+        self.ends_piece[[i for t, i in self.vocab.items() if t.endswith(self.suffix)]] = True
+        self.code_points = np.array([ord(c) for c in chars], dtype="<u4")
+        self.code_points[ord(" ")] = ord(" ")
         inside = np.zeros((256, 256), dtype=bool)
         for token in self.vocab:
             raw = [byte_of[c] for c in token.removesuffix(self.suffix)]
@@ -153,6 +189,57 @@ class ForcedBoundaryBpe:
         """All ids of text as unsigned 32-bit integers."""
         return np.frombuffer(b"".join(map(self.chunk_memory.__getitem__, self.chunks(text or ""))), dtype="<u4")
 
+    # -- many texts ------------------------------------------------------------------------------
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in a row, and where those of each begin; the last is their number."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        found = self._encode_words(words.dictionary).take(words.indices)
+        at = found.offsets.to_numpy()[split.offsets.to_numpy()]
+        return found.flatten().to_numpy().astype("<u4", copy=False), at
+
+    def _encode_words(self, words: pa.Array) -> pa.LargeListArray:
+        """The ids of each word."""
+        raw, at = _strings(words)
+        rare = _RARE[raw]
+        for a, b in _RARE_PAIRS:
+            rare[:-1] |= (raw[:-1] == a) & (raw[1:] == b)
+        rare = (np.diff(np.concatenate([[0], np.cumsum(rare)])[at]) > 0) | (np.diff(at) > _LONG)
+        ids = self._encode_plain(words.filter(pa.array(~rare)))
+        if not rare.any():
+            return ids
+        other = [np.frombuffer(self.chunk_memory[w], "<u4") for w in words.filter(pa.array(rare)).to_pylist()]
+        other = _lists(np.cumsum([0, *map(len, other)]), np.concatenate(other))
+        place = np.where(rare, len(ids) + np.cumsum(rare) - 1, np.cumsum(~rare) - 1)
+        return pa.concat_arrays([ids, other]).take(pa.array(place))
+
+    def _encode_plain(self, words: pa.Array) -> pa.LargeListArray:
+        """The same of words without rare bytes: a piece is a run of letters or of symbols, or a digit."""
+        raw, at = _strings(words)
+        raw = np.frombuffer(raw.tobytes().decode().lower().encode(), np.uint8)
+        kind = _CLASS[raw]
+        first = kind == 2
+        first[1:] |= kind[1:] != kind[:-1]
+        first[at[:-1][at[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(first)
+        bounds = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+        ids = self._encode_pieces(pieces.dictionary).take(pieces.indices)
+        return _lists(ids.offsets.to_numpy()[np.searchsorted(starts, at)], ids.flatten())
+
+    def _encode_pieces(self, pieces: pa.Array) -> pa.LargeListArray:
+        """The ids of each pre-token, given in lower case and without white space."""
+        rows = pa.LargeListArray.from_arrays(pa.array([*range(0, len(pieces), _AT_ONCE), len(pieces)], pa.int64()), pieces)
+        ids: list[int] = []
+        for row in pc.binary_join(rows, pa.scalar(b" ", pieces.type)).to_pylist():
+            shown = self.code_points[np.frombuffer(row, np.uint8)].tobytes().decode("utf-32-le")
+            ids += self.row.encode(shown, add_special_tokens=False).ids
+        out = np.array(ids, dtype=np.uint32)
+        ends = np.flatnonzero(self.ends_piece[out]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the vocabulary lacks single bytes, so pieces do not end with a suffix")
+        return _lists(np.concatenate([[0], ends]), out)
+
     def decode(self, ids) -> str:
         """As the library's decode(): this vocabulary has no decoder, so tokens are joined by a space."""
         return " ".join(self.token_of[int(i)] for i in ids)

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,8 @@ WINDOW_COST, SENTENCE_COST, INNER_COST = 24, 8, 96
 NEAR, LONG, INNER_STEP = 8, 256, 32
 #: Tokens gathered before what is settled is let go; it has no influence on the plan.
 STRETCH = 1 << 19
+#: Bytes of text encoded at a time, and the last text's; it has no influence on the ids.
+BLOCK = 1 << 25
 OUT = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -176,6 +179,14 @@ class _Packer:
         self.limit = max(self.stretch, 2 * self.size)
 
 
+def blocks(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows in a row, up to the one that makes their texts BLOCK bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(size // BLOCK)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield keys[a:b], texts[a:b]
+
+
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER_FILE) -> DataFrame:
     """One row a piece: its document, its place there, its window and its place there."""
     kind = docs.schema[key].dataType.simpleString()
@@ -184,7 +195,6 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
         enc = encoder(tokenizer)
         is_end = sentence_ends(enc)
         packer = _Packer((TaskContext.get().partitionId()) << 33)
-        end = np.array([END_ID], dtype="<u4")
         key_type = None
 
         def out() -> pa.RecordBatch:
@@ -194,11 +204,16 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([enc.encode(t.as_py()), end])
-                packer.add(k, ids, np.flatnonzero(is_end[ids]) + 1)
-                if len(packer.rows) >= 10_000:
-                    yield out()
+            for keys, texts in blocks(batch.column(0), batch.column(1)):
+                ids, at = enc.encode_all(texts)
+                ids = np.insert(ids, at[1:], END_ID)
+                at = at + np.arange(len(at))
+                ends = np.flatnonzero(is_end[ids]) + 1
+                first = np.searchsorted(ends, at, "right")
+                for k, a, b, i, j in zip(keys.to_pylist(), at.tolist(), at[1:].tolist(), first.tolist(), first[1:].tolist()):
+                    packer.add(k, ids[a:b], ends[i:j] - a)
+                    if len(packer.rows) >= 10_000:
+                        yield out()
         packer.flush(True)
         if packer.rows:
             yield out()

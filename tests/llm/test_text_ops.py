@@ -9,8 +9,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from memloom.llm import bpe, langid, license_scan, line_dedup, packing, pii, quality, secret_scan
 from memloom.llm import queries as registered
@@ -78,6 +80,40 @@ def test_cuts_are_certain(library):
     assert enc.inside.sum() < 65536 and len(enc.fragments(b"q\x01z")) == 3
 
 
+def test_many_texts_are_encoded_as_one_by_one(docs, odd, library):
+    enc = bpe.ForcedBoundaryBpe(tokenizer_path())
+    every = "".join(map(chr, [*range(0x250), 0x300, 0x345, 0x3A3, 0x1E9E, 0x2028, 0x212A, 0x3000, 0x1F600]))
+    around = [f"{a}{c}{b}" for c in every for a, b in (("", ""), ("Ab", "cd9"), ("'", "s"), ("!", "<"), ("12", "\u0301e"), (" ", " x"))]
+    marks = ["don''t 'S's'rex''ll<|endoftext|>'d", "< | <| |> <|x|>", "A1b22,,c.\u00d7\u00f7\u0130\u00c9\u00df", "xy" * 5000 + "\u00e9!", "\u00c9t\u00c9 STRA\u00dfE " * 50]
+    rng = np.random.default_rng(8)
+    mixed = ["".join(rng.choice(list("ab'sLl \n\t09.!<|>\u00e9\u00c9\u00d7\u0301\u017f\u1e9e\x1c\xa0"), 30)) for _ in range(500)]
+    texts = [None, "", " \n\t", *around, None, *marks, *mixed, *(r.text for df in (odd, docs.limit(300)) for r in df.select("text").collect()), "", None]
+    for kind in (pa.string(), pa.large_string()):
+        for array in (pa.array(texts, kind), pa.array(["cut", *texts], kind)[1:], pa.array([None, "", " "], kind), pa.array([], kind)):
+            ids, at = enc.encode_all(array)
+            assert ids.dtype == np.dtype("<u4") and len(at) == len(array) + 1 and at[0] == 0 and at[-1] == len(ids)
+            for t, a, b in zip(array.to_pylist(), at, at[1:]):
+                assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_plain_words_of_many_texts_take_no_step_each(monkeypatch):
+    """Packing was over its CPU budget with a step of Python for each word, and several for each new one."""
+    enc = bpe.ForcedBoundaryBpe(tokenizer_path())
+    rows, encode = [], enc.row.encode
+    monkeypatch.setattr(enc, "row", type("Row", (), {"encode": lambda self, text, **kw: rows.append(text) or encode(text, **kw)})())
+    monkeypatch.setattr(enc, "chunk_memory", None)
+    monkeypatch.setattr(packing, "encoder", lambda tokenizer: enc)
+    monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    words = [f"Wort{chr(97 + k // 26)}{chr(97 + k % 26)}, \u00e4{k}." for k in range(600)]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(0, 600, 10)]
+    frame = type("Frame", (), {"schema": {"k": type("Field", (), {"dataType": LongType()})()}, "select": lambda self, *c: self, "mapInArrow": lambda self, run, out: run})()
+    run = packing.pack(frame, "t", "k")
+    out = pa.Table.from_batches(run(iter([pa.record_batch({"k": list(range(60)), "t": texts})])))
+    assert sum(out["length"].to_pylist()) == sum(dict(zip(out["k"].to_pylist(), out["doc_tokens"].to_pylist())).values())
+    pieces = " ".join(rows).split(" ")
+    assert len(rows) == 1 and len(pieces) == len(set(pieces)) == 600 + 10 + 3
+
+
 # -- packing ----------------------------------------------------------------------------------------
 
 
