@@ -45,3 +45,9 @@ def test_wanted_paths_are_those_of_all(spark):
     assert some == {k: every[k] for k in [(0, 0), (2, 255), (3, 256), (4, 300), (4, 699)]}
     one = leaves_of(spark, 1, 1)
     assert [(r.t, r.path) for r in M.audit_paths(one, "t", wanted=wanted).collect()] == [(0, [])]
+
+
+def test_order_proofs_shuffle_no_row_an_order_and_level(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    for name in ("merkle_paths", "merkle_verify"):
+        assert shuffled(spark, lambda: keep(catalogue.queries()[name](spark, sf))) < orders, name
