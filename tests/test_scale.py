@@ -2,8 +2,11 @@
 
 import hashlib
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from memloom.operators import blocks as K
 from memloom.operators import merkle as M
 from memloom.plans import catalogue
 
@@ -51,3 +54,28 @@ def test_order_proofs_shuffle_no_row_an_order_and_level(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").count()
     for name in ("merkle_paths", "merkle_verify"):
         assert shuffled(spark, lambda: keep(catalogue.queries()[name](spark, sf))) < orders, name
+
+
+@pytest.fixture(scope="module")
+def parts(tmp_path_factory):
+    """2,000 parts of seven names, some of the same words, and one of none."""
+    at = tmp_path_factory.mktemp("parts")
+    names = "['blue ring', 'ring blue', 'blue blue ring', 'hot bolt', 'blue bolt', 'x', '-']"
+    duckdb.sql(f"copy (select i as p_partkey, ({names})[i * i % 7 + 1] as p_name from range(2000) t(i) where i % 700 <> 1) to '{at}/part.parquet' (format parquet)")
+    return str(at)
+
+
+def of_sql(name, at):
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{at}/part.parquet'")
+    return con.execute(catalogue.oracle_sql()[name]).df()
+
+
+def rounded(df, *keys):
+    return [tuple(round(float(x), 6) for x in r) for r in df.sort_values(list(keys))[sorted(df.columns)].itertuples(index=False)]
+
+
+def test_sets_of_words_are_paired_once(spark, parts):
+    found = []
+    assert shuffled(spark, lambda: found.append(catalogue.queries()["jaccard_topk"](spark, parts).toPandas())) < 2000
+    assert rounded(found[0], "a", "rank") == rounded(of_sql("jaccard_topk", parts), "a", "rank")
