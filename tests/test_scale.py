@@ -79,3 +79,12 @@ def test_sets_of_words_are_paired_once(spark, parts):
     found = []
     assert shuffled(spark, lambda: found.append(catalogue.queries()["jaccard_topk"](spark, parts).toPandas())) < 2000
     assert rounded(found[0], "a", "rank") == rounded(of_sql("jaccard_topk", parts), "a", "rank")
+
+
+def test_names_of_the_same_words_are_scored_once(spark, parts, monkeypatch):
+    tables, write = [], K.written
+    monkeypatch.setattr(K, "CHUNK", 1)
+    monkeypatch.setattr(K, "written", lambda df: tables.append(0) or write(df))
+    got = catalogue.queries()["ngram_cosine_topk"](spark, parts).toPandas()
+    assert len(tables) < 12  # 20 parts ask, of four names
+    assert rounded(got, "a", "rank") == rounded(of_sql("ngram_cosine_topk", parts), "a", "rank")
