@@ -178,11 +178,12 @@ SELECT lv.tree, lv.idx, lv.idx % 5 <> 0 AS valid, sha256(unhex(sha256(r0)) || un
 def report_validate(spark, d):
     """Leaf to shard to master, with the root of a forged leaf in every fifth place."""
     leaves = _order_leaves(spark, d)
-    roots = M.roots(leaves, "tree").select(F.lit(0).alias("version"), F.col("tree").alias("shard"), "root")
+    held = M.held_spans(leaves, "tree")
+    roots = written(M.roots(leaves, "tree", held=held).select(F.lit(0).alias("version"), F.col("tree").alias("shard"), "root"))
     master = M.master_root(roots).select("root")
     upper = roots.select(F.lit(0).alias("m"), F.col("shard").cast("long").alias("idx"), F.sha2(F.col("root").cast("binary"), 256).alias("hash"))
     upper_paths = M.audit_paths(upper, "m", zero_pad=False).select(F.col("idx").alias("tree"), F.col("path").alias("shard_path"))
-    rows = M.audit_paths(leaves, "tree").join(upper_paths, "tree").crossJoin(F.broadcast(master))  # one row
+    rows = M.audit_paths(leaves, "tree", held=held).join(F.broadcast(upper_paths), "tree").crossJoin(F.broadcast(master))  # two trees, and one row
     leaf = F.when(F.col("idx") % 5 == 0, F.lit(ZERO_HASH)).otherwise(F.col("hash"))
     return rows.select("tree", "idx", M.valid_report(leaf, F.col("idx"), F.col("path"), F.col("tree"), F.col("shard_path"), F.col("root")).alias("valid"), "root")
 

@@ -52,7 +52,7 @@ def test_wanted_paths_are_those_of_all(spark):
 
 def test_order_proofs_shuffle_no_row_an_order_and_level(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").count()
-    for name in ("merkle_paths", "merkle_verify"):
+    for name in ("merkle_paths", "merkle_verify", "report_validate"):
         assert shuffled(spark, lambda: keep(catalogue.queries()[name](spark, sf))) < orders, name
 
 
