@@ -88,3 +88,17 @@ def test_names_of_the_same_words_are_scored_once(spark, parts, monkeypatch):
     got = catalogue.queries()["ngram_cosine_topk"](spark, parts).toPandas()
     assert len(tables) < 12  # 20 parts ask, of four names
     assert rounded(got, "a", "rank") == rounded(of_sql("ngram_cosine_topk", parts), "a", "rank")
+
+
+def test_updated_nodes_are_those_of_the_new_trees(spark):
+    new = leaves_of(spark, 1, 100, 256, 257, 700, 300)
+    for known in ("idx < 1", "idx < 256", "idx < 128 + t", "t < 5"):
+        old = new.filter(known).withColumn("hash", F.when(F.col("idx") % 90 == 5, F.lit("0" * 64)).otherwise(F.col("hash")))
+        changed = new.join(old.filter("idx % 90 <> 5").select("t", "idx"), ["t", "idx"], "left_anti")
+        got = M.update_nodes(M.nodes(old, "t"), changed, "t").collect()
+        assert len(got) == len(set(got)) and set(got) == set(M.nodes(new, "t").select("t", "level", "pos", "hash").collect())
+
+
+def test_an_update_shuffles_no_row_a_node(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert shuffled(spark, lambda: keep(catalogue.queries()["merkle_incremental"](spark, sf))) < orders // 3
