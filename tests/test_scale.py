@@ -1,6 +1,9 @@
 """What queries shuffle and hold: in proportion to their input, not to its square or to its levels."""
 
 import hashlib
+import math
+import random
+import tracemalloc
 
 import duckdb
 import pytest
@@ -102,3 +105,29 @@ def test_updated_nodes_are_those_of_the_new_trees(spark):
 def test_an_update_shuffles_no_row_a_node(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").count()
     assert shuffled(spark, lambda: keep(catalogue.queries()["merkle_incremental"](spark, sf))) < orders // 3
+
+
+def test_slices_cost_the_words_they_share():
+    """A chunk of 4,000 queries of 12 words each, and texts: no table of texts by words, and the scores of plain sums."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(30_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(60)] + [None, ""]
+    asked = [" ".join(rng.sample(vocabulary, 12)) for _ in range(3990)] + [" ".join(t.split()[:12]) for t in texts[:10]]
+    df = {w: 1 + k % 40 for k, w in enumerate(vocabulary)}
+    own = [None] * 3990 + texts[:10]
+    queries = pa.table({"q": list(range(4000)), "t": asked, "o": pa.array(own, pa.string())})
+    tracemalloc.start()
+    score = K.Lexical(queries, "q", "t", df, 1000, 40.0, own="o")
+    got = score(pa.array(texts))
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    for k in (0, 3990, 3999):
+        ws = sorted(set(asked[k].split()))
+        idf = {w: math.log((1000 - df[w] + 0.5) / (df[w] + 0.5) + 1) for w in ws}
+        for d, t in enumerate(texts):
+            found = (t or "").split()
+            s = sum(idf[w] * found.count(w) * 2.2 / (found.count(w) + 1.2 * (0.25 + 0.75 * len(found) / 40)) for w in ws) / (2.2 * sum(idf.values()))
+            assert abs(got[k, d] - s) < 1e-12 if s > 0 else got[k, d] == -math.inf
+    assert all(score.floor[3990 + k] == round(got[3990 + k, k], 9) for k in range(10)) and not score.floor[:3990].any()
