@@ -6,9 +6,11 @@ import random
 import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from memloom.functions import embedding as N
 from memloom.operators import blocks as K
 from memloom.operators import merkle as M
 from memloom.plans import catalogue
@@ -131,3 +133,13 @@ def test_slices_cost_the_words_they_share():
             s = sum(idf[w] * found.count(w) * 2.2 / (found.count(w) + 1.2 * (0.25 + 0.75 * len(found) / 40)) for w in ws) / (2.2 * sum(idf.values()))
             assert abs(got[k, d] - s) < 1e-12 if s > 0 else got[k, d] == -math.inf
     assert all(score.floor[3990 + k] == round(got[3990 + k, k], 9) for k in range(10)) and not score.floor[:3990].any()
+
+
+def test_new_words_are_hashed_together():
+    rng = random.Random(6)
+    found = ["a", "ab", "abc", "z9", "abcdefghij", "q" * 24, "r" * 25, "0" * 300, *("".join(rng.choices("abcxyz059", k=rng.randint(1, 30))) for _ in range(500))]
+    assert np.array_equal(N.word_vectors(found), np.array([N.word_vector(w) for w in found])) and N.word_vectors([]).shape == (0, 256)
+    texts = [" ".join(rng.choices(found, k=rng.randint(0, 60))) for _ in range(150)] + [None, ""]
+    plain = np.array([sum((N.word_vector(w) for w in N.words(t)), np.zeros(256)) for t in texts])
+    norm = np.sqrt((plain * plain).sum(axis=1, keepdims=True))
+    assert np.array_equal(N.HashedNgrams().embed(texts), plain / np.where(norm > 0, norm, 1))
