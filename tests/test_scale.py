@@ -143,3 +143,14 @@ def test_new_words_are_hashed_together():
     plain = np.array([sum((N.word_vector(w) for w in N.words(t)), np.zeros(256)) for t in texts])
     norm = np.sqrt((plain * plain).sum(axis=1, keepdims=True))
     assert np.array_equal(N.HashedNgrams().embed(texts), plain / np.where(norm > 0, norm, 1))
+
+
+def test_decisions_shuffle_no_row_a_part_and_level(spark, parts, tmp_path):
+    at = str(tmp_path)
+    duckdb.sql(f"copy (select *, 'Brand#' || p_partkey % 9 as p_brand from '{parts}/part.parquet') to '{at}/part.parquet' (format parquet)")
+    found = []
+    assert shuffled(spark, lambda: found.append(catalogue.queries()["decision_evidence"](spark, at).toPandas())) < 10_000
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{at}/part.parquet'")
+    want = con.execute(catalogue.oracle_sql()["decision_evidence"]).df()
+    assert [tuple(r) for r in found[0].sort_values("rank").itertuples(index=False)] == [tuple(r) for r in want[list(found[0].columns)].sort_values("rank").itertuples(index=False)]
