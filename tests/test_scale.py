@@ -154,3 +154,8 @@ def test_decisions_shuffle_no_row_a_part_and_level(spark, parts, tmp_path):
     con.execute(f"create view part as select * from '{at}/part.parquet'")
     want = con.execute(catalogue.oracle_sql()["decision_evidence"]).df()
     assert [tuple(r) for r in found[0].sort_values("rank").itertuples(index=False)] == [tuple(r) for r in want[list(found[0].columns)].sort_values("rank").itertuples(index=False)]
+
+
+def test_atoms_of_customers_are_made_in_all_tasks(spark, sf):
+    rows = catalogue.queries()["atom_summary"](spark, sf)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
