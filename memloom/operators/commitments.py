@@ -24,7 +24,9 @@ def commit_level(children: DataFrame, width: int = WIDTH) -> DataFrame:
         return pd.DataFrame({"pos": [key[0]], "commitment": [C.compress(C.commit(values, C.generators(width)))]})
 
     grouped = children.withColumn("parent", F.floor(F.col("pos") / width).cast("long"))
-    return grouped.groupBy("parent").applyInPandas(run, "pos bigint, commitment string")
+    # groups are small and slow, so they are dealt out by number, not by size
+    tasks = int(children.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grouped.repartition(tasks, "parent").groupBy("parent").applyInPandas(run, "pos bigint, commitment string")
 
 
 def node_hash(commitment):

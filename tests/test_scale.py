@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import embedding as N
 from memloom.operators import blocks as K
+from memloom.operators import commitments as V
 from memloom.operators import merkle as M
 from memloom.plans import catalogue
 
@@ -159,3 +160,8 @@ def test_decisions_shuffle_no_row_a_part_and_level(spark, parts, tmp_path):
 def test_atoms_of_customers_are_made_in_all_tasks(spark, sf):
     rows = catalogue.queries()["atom_summary"](spark, sf)
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_commitments_are_made_in_all_tasks(spark):
+    level = leaves_of(spark, 40).select(F.col("idx").alias("pos"), "hash")
+    assert V.commit_level(level).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
